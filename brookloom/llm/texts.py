@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unicode white space (the White_Space property), as a character class body.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run that is not white space: the words of the size rules.
 SOLID = re.compile(f"[^{SPACE}]+")
 #: A run of letters and digits of any script: the words of the likeness rules.
