@@ -74,15 +74,16 @@ def totals(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
     own = sizes.groupBy("source").agg(F.sum("tokens").alias("own"), F.count(F.lit(1)).alias("docs"))
     rows = targets.select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).cast("bigint").alias("max_repeats"))
     rows = rows.join(own, "source", "left").fillna(0, ["own", "docs"])
-    total = rows.agg(F.sum("own").alias("total"))
-    report = rows.crossJoin(total).select(  # total is one row
+    rows = rows.collect()  # a row for each target, whose number is checked
+    total = sum(r["own"] for r in rows)
+    report = [(*r, total) for r in map(tuple, rows)]
+    return targets.sparkSession.createDataFrame(report, "source string, weight double, max_repeats bigint, own bigint, docs bigint, total bigint").select(
         "*",
         (F.col("own") * F.col("max_repeats")).alias("capacity"),
         (F.col("weight") * F.col("total")).alias("wanted"),
         F.ceil(F.col("own") / F.lit(block)).cast("bigint").alias("blocks"),
         (F.col("own") * F.col("max_repeats") < F.col("weight") * F.col("total")).alias("short"),
     )
-    return report.sparkSession.createDataFrame(report.collect(), report.schema)  # a row for each target, whose number is checked
 
 
 def _sources_of(first: int, n: int, bounds: np.ndarray) -> np.ndarray:
