@@ -36,10 +36,10 @@ COMMON = {
     "en": "the of and to is was were for with by at that which has have had from are be will should may not an its it this under after before between until hours people because although said on who what when why how does can you tell me please answer ask",
     "de": "der die das und ist war wurde wurden für mit von dem den des ein eine einen nicht auf zu im um bei nach zwischen weil obwohl bis sich wird soll kann muss durch aus als über siehe uhr wer was wann warum wie welche ich sie bitte",
     "fr": "le les des du et est été une pour avec par dans que qui au aux sur ce cette sont ont après avant entre jusqu car bien il elle se pas selon doit peut quel quelle quand pourquoi quoi vous je veuillez dirige",
-    "es": "el los las y es fue una para con por que del al se su según entre hasta porque aunque desde está han debe puede como más cuál quién cuándo qué cuánto usted donde dirige pregunte son dura",
+    "es": "el los las en y es fue una para con por que del al se su según entre hasta porque aunque desde está han debe puede como más cuál quién cuándo qué cuánto usted donde dirige pregunte son dura",
     "it": "il gli della delle che è sono per con non una dal nel alla perché anche fino questo",
     "pt": "os das dos uma não para com por foi são está até também pelo pela você",
-    "nl": "het een van en is niet voor met op dat zijn wordt werd naar door ook bij",
+    "nl": "het een niet voor zijn wordt werd naar ook bij deze maar",
 }
 _LANG = {}
 for _l, _ws in COMMON.items():
@@ -68,11 +68,12 @@ REFUSES = re.compile(
 )
 REGRETS = re.compile(r"\b(?:sorry|unfortunately|as an assistant|thank you for asking|leider|tut mir leid|danke für die frage|je suis désolée?|malheureusement|merci de votre question|lo siento|por desgracia|gracias por preguntar)\b", re.I)
 COURTESY = re.compile(
-    r"\b(?:hope you understand|anything else|another topic|ask a person|instead\.|sonst noch|bitte wenden|verständnis|anderes thema|autre chose|autre sujet|adressez-vous à une personne|merci de votre compréhension|algo más|otro tema|otra cosa|diríjase|dirigirse|comprensión)", re.I
+    r"\b(?:hope you understand|anything else|another topic|ask a person|instead\.|sonst noch|bitte wenden|contact(?:er|ez|e) (?:la|a la|una?|le)|consulte a|responsable, por favor|ask someone|fragen sie bitte|verständnis|anderes thema|autre chose|autre sujet|adressez-vous à une personne|merci de votre compréhension|algo más|otro tema|otra cosa|diríjase|dirigirse|comprensión)", re.I
 )
 NOTHING_FOUND = re.compile(r"\b(?:sources?|excerpts?|files?|documents?|quellen?|auszüge|dokumente?|extraits|documents|fuentes?|extractos|documentos?)\b", re.I)
 
-_QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"]*\"")
+_QUOTED = re.compile(r"«(?:[^«»\n]|«[^«»\n]*»)*»|“(?:[^“”\n]|“[^“”\n]*”)*”|„[^“”\n]*[“”]|\"[^\"\n]*\"")
+_JOINED = chr(0x2060)  # stands for a blank inside a quotation: it ends no sentence there and no cue is read across it
 _LABEL = re.compile(r"\s*\[(?:Doc:[^\]\n]*|S\d+|\d+)\]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]*_]*\s+(?=[^\s])")
 _MARK = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)])(?:\s+|$)")
@@ -123,9 +124,10 @@ def clauses(answer: str) -> list[tuple[str, str]]:
         if block is not None:
             block.append(line)
             continue
-        line = _LABEL.sub("", line).strip()
+        line = _QUOTED.sub(lambda m: m.group().replace(" ", _JOINED), _LABEL.sub("", line).strip())
         if not line:
             continue
+        quoted = line.startswith(">")
         mark = _MARK.match(line)
         kind = "sentence" if not mark else "numbered" if mark.group().strip()[0].isdigit() else "item"
         body = line[mark.end() :] if mark else line
@@ -134,7 +136,7 @@ def clauses(answer: str) -> list[tuple[str, str]]:
             continue
         for part in _SENTENCE.split(body):
             if part.strip():
-                out.append((kind, part.strip()))
+                out.append(("quote" if quoted else kind, part.strip()))
     if block is not None:
         out.append(("block", "\n".join(block)))
     return out
@@ -150,7 +152,7 @@ def bare_value(words: list[str], text: str) -> bool:
 
 FEATURES = (
     "bias refuses regrets courtesy nothing_found courtesy_after echo quoted_question lead foreign foreign_clear own_language last open_end open_block open_label weak_end "
-    "bare_value_alone item_odd digits only_mark inside_quote short"
+    "bare_value_alone item_odd only_mark inside_quote"
 ).split()
 
 
@@ -172,10 +174,9 @@ def features(question: str, answer: str) -> tuple[np.ndarray, np.ndarray]:
         w = words_of(text)
         size[i] = len(w)
         f["bias"] = 1
-        f["short"] = len(w) <= 2
         last = i == len(parts) - 1
         if kind != "block":
-            plain = _QUOTED.sub(" ", text)
+            plain = "" if kind == "quote" else _QUOTED.sub(" ", text)
             f["inside_quote"] = len(words_of(plain)) < 0.3 * len(w)
             f["refuses"] = bool(REFUSES.search(text))
             f["regrets"] = bool(REGRETS.search(text))
@@ -184,9 +185,12 @@ def features(question: str, answer: str) -> tuple[np.ndarray, np.ndarray]:
             f["nothing_found"] = bool(NOTHING_FOUND.search(text)) and not f["refuses"]
             refused |= bool(f["refuses"])
             if w and q:
-                inside = sum(1 for x in w if x in qset) / len(w)
+                head, colon, rest = text.partition(":")
+                said = words_of(rest) if colon and 0 < len(words_of(head)) <= 5 and words_of(rest) else w  # after a short lead-in
+                inside = sum(1 for x in said if x in qset) / len(said)
+                named = text.endswith("?") and all(x in qset for x in w)  # the subject alone, asked back
                 joined, asked = " ".join(w), " ".join(q)
-                f["echo"] = inside >= 0.95 and (len(set(w) & qset) >= 0.6 * len(qset) or (len(w) >= 3 and joined in asked and not bare_value(w, text)))
+                f["echo"] = named or inside >= 0.95 and (len(set(said) & qset) >= 0.6 * len(qset) or (len(w) >= 3 and joined in asked and not bare_value(w, text)))
                 f["quoted_question"] = not f["echo"] and len(q) >= 4 and asked in joined
             f["lead"] = text.endswith(":") and len(w) <= 5 and not last
             v = votes(words_of(plain))
@@ -194,14 +198,13 @@ def features(question: str, answer: str) -> tuple[np.ndarray, np.ndarray]:
             f["own_language"] = good > bad
             f["foreign"] = own is not None and bad > good
             f["foreign_clear"] = own is not None and bad >= good + 2
-        f["digits"] = any(c.isdigit() for c in text)
         f["last"] = last
         if last:
             f["open_block"] = fences % 2
             f["open_label"] = open_label
             f["only_mark"] = kind in ("item", "numbered") and not w or bool(_MARK.fullmatch(text))
             bare = text.strip("*_`> ")
-            if kind == "sentence" or kind == "numbered":
+            if kind not in ("item", "block"):
                 alone = len(parts) == 1 and bare_value(w, bare)
                 f["bare_value_alone"] = alone
                 f["open_end"] = not alone and not _ENDS.search(bare)
@@ -335,7 +338,7 @@ def training_pairs(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, li
         elif shape == "refusal":
             a, y = r.choice(s["r"]), [REFUSAL]
             if r.random() < 0.3:
-                a, y = f"{q} {a}", [ECHO, REFUSAL]
+                a, y = f"{r.choice([q, q.rstrip('¿?. ').split()[-1] + '?'])} {a}", [ECHO, REFUSAL]
             if r.random() < 0.5:
                 a, y = f"{a} {r.choice(s['c'])}", [*y, REFUSAL]
         elif shape == "copy":
@@ -367,7 +370,7 @@ def training_pairs(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, li
             a, y = r.choice(s["v"]), [ANSWER]
         elif shape in ("list", "list_cut"):
             dash = r.random() < 0.5
-            rows = [f"- Item {k}, Selka" for k in range(3)] if dash else [f"{k + 1}. {t}" for k, t in enumerate(body)]
+            rows = [f"- {r.choice(('Item', 'Old shelf', 'North hall'))}, {r.choice(('Selka', 'Tarno 4', 'Mira Holt'))}" for _ in range(r.randint(2, 4))] if dash else [f"{k + 1}. {t}" for k, t in enumerate(body)]
             y = [ANSWER] * (1 + len(rows))
             if shape == "list_cut":
                 rows[-1] = "- Item" if dash else f"{len(rows)}. {' '.join(rows[-1].split()[1:4]).rstrip('.')}"
@@ -408,8 +411,9 @@ def defect(question: str, answer: str | None, weights: tuple[np.ndarray, np.ndar
         return "truncated" if answer.rstrip().rfind("[") > answer.rstrip().rfind("]") else None
     tags = decode(X, *weights)
     cover = np.zeros(len(TAGS))
-    lead = X[:, FEATURES.index("lead")] > 0
-    for t, n, skip in zip(tags, size, lead):
+    aside = X[:, [FEATURES.index("lead"), FEATURES.index("inside_quote")]].any(axis=1)
+    aside &= not aside.all()
+    for t, n, skip in zip(tags, size, aside):
         cover[t] += 0 if skip else max(n, 1)
     if tags[-1] == UNFINISHED:
         return "truncated"
