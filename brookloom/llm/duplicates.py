@@ -99,29 +99,22 @@ def fingerprint(s: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-_LEFT_OUT = [[c for c in range(WIDTH) if c != d] for d in range(WIDTH)]
-
-
-def ball_keys(symbols: np.ndarray, salt: int) -> np.ndarray:
-    """Keys of the balls of radius one around all segments: SEGMENTS x WIDTH hashes."""
-    seg = symbols.reshape(SEGMENTS, WIDTH)
-    out = np.empty((SEGMENTS, WIDTH), dtype=np.uint64)
-    place = np.arange(SEGMENTS, dtype=np.uint64) * _U(WIDTH) + _U(salt << 16)
-    for d, kept in enumerate(_LEFT_OUT):
-        x = _mix(place + _U(d + 1))
-        for c in kept:
-            x = _mix(x ^ (seg[:, c] * _ORDER[c]))
-        out[:, d] = x
-    return out.ravel()
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def ball_keys(symbols: str = "symbols") -> Column:
+    """Keys of the balls of radius one around all segments: SEGMENTS x WIDTH hashes of a segment's place and all but one of its symbols."""
+    keys = []
+    for segment in range(SEGMENTS):
+        for out in range(WIDTH):
+            kept = [F.col(symbols)[segment * WIDTH + c] for c in range(WIDTH) if c != out]
+            keys.append(F.xxhash64(F.lit(segment * WIDTH + out), *kept))
+    return F.array(*keys)
+
+
 def features(rows: DataFrame, like: Likeness) -> DataFrame:
-    """(kind, id, class, size, symbols, keys) of the rows (kind, id, text) that are long enough. ``class`` names the shingle set."""
-    kinds = {"section": 1, "document": 2}
+    """(kind, id, class, size, symbols) of the rows (kind, id, text) that are long enough. ``class`` names the kind and the shingle set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,36 +125,35 @@ def features(rows: DataFrame, like: Likeness) -> DataFrame:
                     continue
                 f = fingerprint(s)
                 name = xxhash.xxh3_64_intdigest(s.tobytes() + kind.encode())
-                out.append((kind, i, name - (1 << 64) if name >> 63 else name, len(s), (f & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), _signed(ball_keys(f, kinds.get(kind) or xxhash.xxh32_intdigest(kind)))))
-            yield pd.DataFrame(out, columns=["kind", "id", "class", "size", "symbols", "keys"])
+                out.append((kind, i, name - (1 << 64) if name >> 63 else name, len(s), (f & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame(out, columns=["kind", "id", "class", "size", "symbols"])
 
     shortest = max(2 * max(like.words, like.least_words) - 1, 1)
     base = rows.select("kind", "id", "text").filter(F.col("id").isNotNull() & F.col("kind").isNotNull() & (F.char_length("text") >= shortest))
-    return spread(base).mapInPandas(run, "kind string, id string, class bigint, size int, symbols array<int>, keys array<bigint>")
+    return spread(base).mapInPandas(run, "kind string, id string, class bigint, size int, symbols array<int>")
 
 
 def hashed(rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """members (kind, class, id) and classes (kind, class, size, symbols, keys), both written once to the shared folder.
+    """members (kind, class, id) and classes (kind, class, size, symbols), both written once to the shared folder.
 
     A repeated id keeps one class: the greatest, so that the choice doesn't depend on the order of rows.
     """
     f = staged(features(rows, like), "features")
-    members = f.groupBy("kind", "id").agg(F.max("class").alias("class"))
-    classes = f.dropDuplicates(["kind", "class"]).drop("id")
-    return members, classes
+    members = staged(f.groupBy("kind", "id").agg(F.max("class").alias("class")), "members")
+    return members, staged(f.dropDuplicates(["class"]).drop("id"), "classes")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b), a < b: classes that meet in the ball of some segment and whose complete distance is small enough."""
-    table = classes.select("class", F.explode("keys").alias("key"))
+    table = classes.select("class", F.explode(ball_keys()).alias("key")).repartition("key")  # one exchange serves both sides
     left, right = table.select(F.col("class").alias("a"), "key"), table.select(F.col("class").alias("b"), "key")
     met = left.join(right, "key").filter("a < b").select("a", "b").distinct()
-    symbols = classes.select("class", "symbols")
+    symbols = classes.select("class", "symbols", "kind")
     apart = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x != y), lambda d: d))
     return (
-        met.join(symbols.select(F.col("class").alias("a"), F.col("symbols").alias("sa")), "a")
-        .join(symbols.select(F.col("class").alias("b"), F.col("symbols").alias("sb")), "b")
-        .filter(apart <= MOST_DIFFERENT)
+        met.join(symbols.select(F.col("class").alias("a"), F.col("symbols").alias("sa"), F.col("kind").alias("ka")), "a")
+        .join(symbols.select(F.col("class").alias("b"), F.col("symbols").alias("sb"), F.col("kind").alias("kb")), "b")
+        .filter((F.col("ka") == F.col("kb")) & (apart <= MOST_DIFFERENT))
         .select("a", "b")
     )
 
@@ -202,7 +194,6 @@ def class_pairs(rows: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
 def record_pairs(rows: DataFrame, like: Likeness = STATED) -> DataFrame:
     """(kind, id_a, id_b), every pair of records that are alike, copies included, as TESTDATA.md wants them."""
     members, pairs = class_pairs(rows, like)
-    members = staged(members, "members")
     a = members.select(F.col("class").alias("a"), "kind", F.col("id").alias("ia"))
     b = members.select(F.col("class").alias("b"), F.col("id").alias("ib"))
     between = pairs.select("a", "b").join(a, "a").join(b, "b").select("kind", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
@@ -233,7 +224,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> Dat
 def groups(rows: DataFrame, like: Likeness = STATED) -> DataFrame:
     """(kind, id, group, links): one row for each record; ``links`` counts the other classes it is alike to, ``group`` is the least id of its group."""
     members, pairs = class_pairs(rows, like)
-    members, pairs = staged(members, "members"), staged(pairs, "pairs")
+    pairs = staged(pairs, "pairs")
     links = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     roots = components(members, pairs)
     named = members.join(roots, "class")
