@@ -251,7 +251,7 @@ def _leaks_of(tokens: DataFrame, items: Items, kind: str, rank: int, cosine: flo
             P = _unit(_windows(_block_sums(flat, M), block_owner))
             best = np.zeros((len(docs), len(begins)), dtype=np.float32)
             for a in range(0, len(P), 1024):
-                s = np.maximum.reduceat(P[a : a + 1024] @ Q.T, begins, axis=1)
+                s = np.ascontiguousarray(np.maximum.reduceat(Q @ P[a : a + 1024].T, begins, axis=0).T)
                 o = block_owner[a : a + 1024]
                 at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 best[o[at]] = np.maximum(best[o[at]], np.maximum.reduceat(s, at, axis=0))

@@ -61,11 +61,12 @@ def unit_vectors(rows: DataFrame, dim: int) -> DataFrame:
     return spread(base).mapInPandas(run, f"id {id_type}, v binary").groupBy("id").agg(F.max("v").alias("v"))
 
 
-def centres(nodes: DataFrame, count: int, dim: int, rounds: int = 6) -> np.ndarray:
-    """Unit centres by spherical k-means on the CENTRE_SAMPLE nodes with the least hashes: a bounded sample, the same on every run."""
+def centres(nodes: DataFrame, n: int, count: int, dim: int, rounds: int = 6) -> np.ndarray:
+    """Unit centres by spherical k-means on a bounded sample of the n nodes, the same on every run."""
     if count <= 1:
         return np.zeros((1, dim), dtype=np.float32)
-    rows = nodes.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(CENTRE_SAMPLE).collect()
+    share = min(1.0, CENTRE_SAMPLE / n)  # those with the least hashes, about CENTRE_SAMPLE however many nodes and tasks there are
+    rows = nodes.select("v", F.xxhash64("v", F.lit(1)).alias("h")).filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1))).sort("h").collect()
     X = np.frombuffer(b"".join(r["v"] for r in rows), dtype=np.float32).reshape(-1, dim)
     C = X[np.random.default_rng(1).permutation(len(X))[:count]].copy()
     for _ in range(rounds):
@@ -227,7 +228,7 @@ def search(X: np.ndarray, G: np.ndarray, entry: int, Q: np.ndarray, own: np.ndar
 def node_neighbours(nodes: DataFrame, k: int, dim: int, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
     """(node, other, similarity): the k nearest distinct vectors of every node (node, v)."""
     n = nodes.count()
-    C = centres(nodes, -(-n // shard), dim)
+    C = centres(nodes, n, -(-n // shard), dim)
     overlap = min(overlap, len(C))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
