@@ -1,8 +1,8 @@
 """Most similar vectors for every vector, by robust-pruned directed graphs.
 
 Method: vectors are unit vectors; similarity is the cosine. Coarse centres, fitted on a bounded sample (CENTRE_SAMPLE vectors), divide
-the collection into shards of about SHARD vectors; every vector is indexed in the shards of its OVERLAP nearest centres, so borders
-don't cut neighbours apart. Within a shard a directed graph is built as for Vamana: vectors are inserted in growing batches, a greedy
+the collection into shards of about SHARD vectors; every vector is indexed in the shards of its OVERLAP nearest centres and asks in
+those of its PROBES nearest ones, so borders don't cut neighbours apart. Within a shard a directed graph is built as for Vamana: vectors are inserted in growing batches, a greedy
 beam search over the graph so far proposes neighbours, robust pruning keeps a candidate only if no kept one is nearer to it by the
 relaxation ALPHA, and back edges are added and pruned likewise. Then a beam search for every vector runs in each of its shards, and
 the k best over the shards are kept.
@@ -32,11 +32,14 @@ from brookloom.llm.texts import spread
 from brookloom.session import staged
 
 SHARD = 6_000
-OVERLAP = 2
+OVERLAP = 4
+PROBES = 4
 CENTRE_SAMPLE = 20_000
 DEGREE = 24
 BEAM = 32
 ALPHA = 1.2
+#: Edges to a node that pruning never takes away.
+KNOWN = 4
 LARGEST = 4 * SHARD
 
 
@@ -66,7 +69,7 @@ def centres(nodes: DataFrame, n: int, count: int, dim: int, rounds: int = 6) ->
     if count <= 1:
         return np.zeros((1, dim), dtype=np.float32)
     share = min(1.0, CENTRE_SAMPLE / n)  # those with the least hashes, about CENTRE_SAMPLE however many nodes and tasks there are
-    rows = nodes.select("v", F.xxhash64("v", F.lit(1)).alias("h")).filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1))).sort("h").collect()
+    rows = nodes.select("v", F.xxhash64("v", F.lit(1)).alias("h")).filter(F.col("h") <= min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))).sort("h").collect()
     X = np.frombuffer(b"".join(r["v"] for r in rows), dtype=np.float32).reshape(-1, dim)
     C = X[np.random.default_rng(1).permutation(len(X))[:count]].copy()
     for _ in range(rounds):
@@ -137,16 +140,21 @@ def _beam(X: np.ndarray, G: np.ndarray, Q: np.ndarray, start: np.ndarray, beam:
     return ids, sim
 
 
-def _prune(X: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Robust pruning for a batch of nodes p with candidate lists (-1: none): the kept neighbours, nearest first, padded with -1."""
+def _prune(X: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, alpha: float, held: np.ndarray | None = None) -> np.ndarray:
+    """Robust pruning for a batch of nodes p with candidate lists (-1: none): the kept neighbours, padded with -1.
+
+    Candidates come by distance, those marked in ``held`` before all others: they must not be lost.
+    """
     cand = np.where(cand == p[:, None], -1, cand)
-    order = np.sort(cand, axis=1)
+    first = cand * 2 + (1 if held is None else ~held)  # of a node that comes twice, the held entry stays
+    first.sort(axis=1)
+    order, free = first >> 1, (first & 1).astype(bool)
     order[:, 1:][order[:, 1:] == order[:, :-1]] = -1
     at = np.maximum(order, 0)
     V = X[at]
     d = 1.0 - np.einsum("pcd,pd->pc", V, X[p])
     d = np.where(order >= 0, np.maximum(d, 0), np.inf)
-    by = np.argsort(d, axis=1, kind="stable")
+    by = np.argsort(d if held is None else d + 10.0 * free, axis=1, kind="stable")
     r = np.arange(len(p))[:, None]
     order, d, V = order[r, by], d[r, by], V[r, by]
     width = int((order >= 0).sum(1).max()) if len(p) else 0
@@ -166,8 +174,9 @@ def _prune(X: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, alpha: f
     return out
 
 
-def build(X: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 2) -> tuple[np.ndarray, int]:
+def build(X: np.ndarray, degree: int | None = None, beam: int | None = None, alpha: float = ALPHA, seed: int = 2) -> tuple[np.ndarray, int]:
     """Adjacency (n x degree, -1 padded) and the entry node, the one nearest to the mean."""
+    degree, beam = degree or DEGREE, beam or BEAM
     n = len(X)
     G = np.full((n, degree), -1, dtype=np.int32)
     entry = int((X @ X.mean(0)).argmax())
@@ -175,6 +184,7 @@ def build(X: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     order = np.concatenate([[entry], order[order != entry]])
     done, size = 1, 1
     seen = np.zeros((min(n, 1024), n), dtype=bool)
+    indegree = np.zeros(n, dtype=np.int64)
     while done < n:
         batch = order[done : done + min(size, 1024)]
         if done <= 64:
@@ -182,38 +192,48 @@ def build(X: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
         else:
             cand, _ = _beam(X, G, X[batch], np.full((len(batch), 1), entry, dtype=np.int32), beam, seen)
         G[batch] = _prune(X, batch, cand, degree, alpha)
-        # back edges: added where there is room, else the whole list is pruned again
-        src = np.repeat(batch, degree)
+        indegree += np.bincount(G[batch][G[batch] >= 0], minlength=n)
+        # back edges: added where there is room, else the whole list is pruned again; a node's edges from its nearest targets stay,
+        # and so do edges to nodes that few others know, or hubs would cut them off
+        src, place = np.repeat(batch, degree), np.tile(np.arange(degree), len(batch))
         dst = G[batch].ravel()
         ok = dst >= 0
-        src, dst = src[ok], dst[ok]
+        src, dst, place = src[ok], dst[ok], place[ok]
         by = np.argsort(dst, kind="stable")
-        src, dst = src[by], dst[by]
+        src, dst, place = src[by], dst[by], place[by]
         targets, first, n_in = np.unique(dst, return_index=True, return_counts=True)
         most = int(n_in.max())
         extra = np.full((len(targets), most), -1, dtype=np.int32)
-        extra[np.repeat(np.arange(len(targets)), n_in), np.arange(len(dst)) - np.repeat(first, n_in)] = src
+        near = np.zeros(extra.shape, dtype=bool)
+        at = np.repeat(np.arange(len(targets)), n_in), np.arange(len(dst)) - np.repeat(first, n_in)
+        extra[at], near[at] = src, place < KNOWN
         have = (G[targets] >= 0).sum(1)
         room = have + n_in <= degree
         t = np.flatnonzero(room)
         col = np.repeat(have[t], n_in[t]) + (np.arange(int(n_in[t].sum())) - np.repeat(np.cumsum(n_in[t]) - n_in[t], n_in[t]))
         G[np.repeat(targets[t], n_in[t]), col] = extra[t][extra[t] >= 0]
-        for a in range(0, (~room).sum(), 512):
-            t = np.flatnonzero(~room)[a : a + 512]
+        indegree += np.bincount(extra[t][extra[t] >= 0], minlength=n)
+        full = np.flatnonzero(~room)
+        for a in range(0, len(full), 512):
+            t = full[a : a + 512]
             wide = int(n_in[t].max())
-            G[targets[t]] = _prune(X, targets[t], np.concatenate([G[targets[t]], extra[t][:, :wide]], axis=1), degree, alpha)
+            old = G[targets[t]]
+            held = np.concatenate([indegree[np.maximum(old, 0)] <= KNOWN, near[t][:, :wide]], axis=1)
+            new = _prune(X, targets[t], np.concatenate([old, extra[t][:, :wide]], axis=1), degree, alpha, held)
+            G[targets[t]] = new
+            indegree += np.bincount(new[new >= 0], minlength=n) - np.bincount(old[old >= 0], minlength=n)
         done += len(batch)
         size = max(size, done // 2)
     return G, entry
 
 
-def search(X: np.ndarray, G: np.ndarray, entry: int, Q: np.ndarray, own: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def search(X: np.ndarray, G: np.ndarray, entry: int, Q: np.ndarray, own: np.ndarray, k: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The k best nodes for each query other than itself. own: the query's node here, or -1; a search starts there, or at the entry."""
     n, got_i, got_s = len(X), [], []
     seen = np.zeros((min(1024, max(len(Q), 1)), n), dtype=bool)
     for a in range(0, len(Q), 1024):
         o = own[a : a + 1024]
-        ids, sim = _beam(X, G, Q[a : a + 1024], np.where(o >= 0, o, entry)[:, None].astype(np.int32), max(beam, k + 1), seen)
+        ids, sim = _beam(X, G, Q[a : a + 1024], np.where(o >= 0, o, entry)[:, None].astype(np.int32), max(beam or BEAM, k + 1), seen)
         sim = np.where((ids == o[:, None]) | (ids < 0), -2.0, sim)
         top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
         r = np.arange(len(o))[:, None]
@@ -225,27 +245,28 @@ def search(X: np.ndarray, G: np.ndarray, entry: int, Q: np.ndarray, own: np.ndar
 # --- the collection ---------------------------------------------------------------------------------------------------------------
 
 
-def node_neighbours(nodes: DataFrame, k: int, dim: int, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
+def node_neighbours(nodes: DataFrame, k: int, dim: int, shard: int, overlap: int, probes: int) -> DataFrame:
     """(node, other, similarity): the k nearest distinct vectors of every node (node, v)."""
     n = nodes.count()
     C = centres(nodes, n, -(-n // shard), dim)
-    overlap = min(overlap, len(C))
+    probes = min(max(probes, overlap), len(C))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             X = np.frombuffer(b"".join(b["v"]), dtype=np.float32).reshape(-1, dim)
-            near = np.argpartition(-(X @ C.T), overlap - 1, axis=1)[:, :overlap]
-            yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), overlap), "v": np.repeat(b["v"].to_numpy(), overlap), "shard": near.ravel()})
+            near = np.argsort(-(X @ C.T), axis=1, kind="stable")[:, :probes]
+            indexed = np.tile(np.arange(probes) < overlap, len(b))
+            yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), probes), "v": np.repeat(b["v"].to_numpy(), probes), "shard": near.ravel(), "indexed": indexed})
 
-    placed = staged(nodes.mapInPandas(assign, "node bigint, v binary, shard int"), "shards")
-    sizes = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}  # a row for each centre
+    placed = staged(nodes.mapInPandas(assign, "node bigint, v binary, shard int, indexed boolean"), "shards")
+    sizes = {r["shard"]: r["count"] for r in placed.filter("indexed").groupBy("shard").count().collect()}  # a row for each centre
     hot = {s: -(-c // shard) for s, c in sizes.items() if c > LARGEST}
     parts = F.coalesce(F.create_map(*[F.lit(x) for p in hot.items() for x in p])[F.col("shard")], F.lit(1)) if hot else F.lit(1)
     member = placed.withColumn("parts", parts).withColumn("home", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     # a member is indexed in its own part and asks in all parts of its shard
-    asked = member.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "node", "v", (F.col("part") == F.col("home")).alias("indexed"))
+    asked = member.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "node", "v", (F.col("indexed") & (F.col("part") == F.col("home"))).alias("indexed"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         V = np.frombuffer(b"".join(b["v"]), dtype=np.float32).reshape(-1, dim)
@@ -267,14 +288,14 @@ def node_neighbours(nodes: DataFrame, k: int, dim: int, shard: int = SHARD, over
     return each.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place")
 
 
-def neighbours(rows: DataFrame, k: int = 5, dim: int = 64, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
+def neighbours(rows: DataFrame, k: int = 5, dim: int = 64, shard: int = SHARD, overlap: int = OVERLAP, probes: int = PROBES) -> DataFrame:
     """(id, other, similarity, place): the k most similar other records of every usable record of rows (id, embedding).
 
     Copies come first (similarity 1, least ids), then the records of the nearest other vectors.
     """
     members = staged(unit_vectors(rows, dim).withColumn("node", F.xxhash64("v")), "vectors")
     nodes = members.groupBy("node").agg(F.min_by("v", "id").alias("v"))
-    near = node_neighbours(nodes, k, dim, shard, overlap)
+    near = node_neighbours(nodes, k, dim, shard, overlap, probes)
     # of each node only its k + 1 records with the least ids can be listed by anyone
     listed = Window.partitionBy("node").orderBy("id")
     heads = members.select("node", "id").withColumn("n", F.row_number().over(listed)).filter(F.col("n") <= k + 1)
