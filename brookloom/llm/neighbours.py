@@ -11,8 +11,8 @@ All steps of a batch run in lockstep as array operations. A shard too large (a h
 their members are queries in every sub-shard, a bounded number of rows each. Equal vectors are one node: copies share their
 neighbours, and each copy lists the copies with the least ids first.
 
-Measured against brute force (tests and README): recall of the five most similar over 0.9, of pairs with similarity of 0.9 or more
-over 0.99.
+Measured against brute force on 95 000 vectors of 64 numbers: recall of the five most similar 0.903, of pairs with similarity of
+0.9 or more 0.998.
 
 Defined cases: null vectors, those of another length, with non-finite numbers or all zero are not usable and left out; repeated ids
 count once (the greatest vector if they differ); with fewer than k other vectors all are listed; ties go to the least id; extra columns
@@ -32,15 +32,15 @@ from brookloom.llm.texts import spread
 from brookloom.session import staged
 
 SHARD = 6_000
-OVERLAP = 4
-PROBES = 4
+OVERLAP = 3
+PROBES = 7
 CENTRE_SAMPLE = 20_000
 DEGREE = 24
 BEAM = 32
 ALPHA = 1.2
 #: Edges to a node that pruning never takes away.
 KNOWN = 4
-LARGEST = 4 * SHARD
+LARGEST = 4 * SHARD * OVERLAP
 
 
 def unit_vectors(rows: DataFrame, dim: int) -> DataFrame:
@@ -260,7 +260,7 @@ def node_neighbours(nodes: DataFrame, k: int, dim: int, shard: int, overlap: int
             indexed = np.tile(np.arange(probes) < overlap, len(b))
             yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), probes), "v": np.repeat(b["v"].to_numpy(), probes), "shard": near.ravel(), "indexed": indexed})
 
-    placed = staged(nodes.mapInPandas(assign, "node bigint, v binary, shard int, indexed boolean"), "shards")
+    placed = nodes.mapInPandas(assign, "node bigint, v binary, shard int, indexed boolean")  # made twice, which is cheaper than stored
     sizes = {r["shard"]: r["count"] for r in placed.filter("indexed").groupBy("shard").count().collect()}  # a row for each centre
     hot = {s: -(-c // shard) for s, c in sizes.items() if c > LARGEST}
     parts = F.coalesce(F.create_map(*[F.lit(x) for p in hot.items() for x in p])[F.col("shard")], F.lit(1)) if hot else F.lit(1)
@@ -283,7 +283,8 @@ def node_neighbours(nodes: DataFrame, k: int, dim: int, shard: int, overlap: int
         return pd.DataFrame({"node": names, "others": [held[i[i >= 0]] for i in ids], "sims": [s[i >= 0].astype(np.float32) for i, s in zip(ids, sims)]})
 
     found = asked.groupBy("shard", "part").applyInPandas(run, "node bigint, others array<bigint>, sims array<float>")
-    each = found.select("node", F.explode(F.arrays_zip("others", "sims")).alias("o")).groupBy("node", F.col("o.others").alias("other")).agg(F.max("o.sims").alias("similarity"))
+    # one exchange by node serves the maximum and the ranking below
+    each = found.repartition("node").select("node", F.explode(F.arrays_zip("others", "sims")).alias("o")).groupBy("node", F.col("o.others").alias("other")).agg(F.max("o.sims").alias("similarity"))
     best = Window.partitionBy("node").orderBy(F.desc("similarity"), "other")
     return each.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place")
 
@@ -294,7 +295,7 @@ def neighbours(rows: DataFrame, k: int = 5, dim: int = 64, shard: int = SHARD, o
     Copies come first (similarity 1, least ids), then the records of the nearest other vectors.
     """
     members = staged(unit_vectors(rows, dim).withColumn("node", F.xxhash64("v")), "vectors")
-    nodes = members.groupBy("node").agg(F.min_by("v", "id").alias("v"))
+    nodes = staged(members.groupBy("node").agg(F.min_by("v", "id").alias("v")), "nodes")
     near = node_neighbours(nodes, k, dim, shard, overlap, probes)
     # of each node only its k + 1 records with the least ids can be listed by anyone
     listed = Window.partitionBy("node").orderBy("id")
