@@ -35,6 +35,32 @@ def test_late_edges(spark):
     assert late.period_figures(log.limit(0)).count() == 0 and late.diverted(log.limit(0)).count() == 0
 
 
+def test_stream_of_figures_ends_at_the_batch_figures(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        happened = r.randint(0, 120)
+        rows.append((f"s{i % 4}", str(i), r.choice("tu"), happened, happened + r.choice([0, 1, 3, 9, 30, 200, 900])))
+    rows.sort(key=lambda x: x[4])
+    rows += [(*x[:4], x[4]) for x in rows[:20]]
+    rows.sort(key=lambda x: x[4])
+    rows += [("s0", "end", "t", 4000, 4000)]
+    log = log_of(spark, rows)
+    src = str(tmp_path / "in")
+    for part in range(4):
+        log.filter(f"seq div 85 = {part}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = late.stream_figures(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    got = {}
+    for x in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.setdefault((x.type, x.start_us), {})[x.kind] = x.figure
+    want = {(x.type, x.start_us): (x.first, x.final) for x in late.period_figures(log).collect() if x.end_us // 60_000_000 - 28401120 < 3000}
+    assert {k: (v["first"], v["final"]) for k, v in got.items() if "final" in v} == want
+
+
 def test_stream_latest_equals_batch(spark, tmp_path):
     rows = [(f"s{i % 3}", f"{i % 40}", "t", (i * 7) % 50, i) for i in range(90)]
     log = log_of(spark, rows)
