@@ -34,7 +34,7 @@ from brookloom.session import staged
 RUN = 12
 ITEM_WINDOW, ITEM_STEP = 8, 5
 BLOCK = 9  # a document passage is two neighbouring blocks of words
-RANK = 256
+RANK = 96
 COSINE = 0.45
 LCS = 0.6
 ITEMS = 2_000
