@@ -219,16 +219,44 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - bin(row).count("1")
 
 
-def _checked(items: Items, grams: list[np.ndarray], ids: np.ndarray, own: np.ndarray, k: int) -> str | None:
-    if np.isin(own, grams[k], assume_unique=True).any():
-        return "verbatim"
-    words = [int(x) for x in ids if x >= 0]
-    present = set(words)
-    for f in items.fields[k]:
-        a = f.tolist()
-        if len(present & set(a)) >= LCS * len(set(a)) and lcs_length(a, words) >= LCS * len(a) and (not items.key[k] or 2 * len(items.key[k] & present) >= len(items.key[k])):
-            return "paraphrase"
-    return None
+class _Checks:
+    """Exact checks of a document against its candidate items, by sorted tables of the items' runs and words."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        grams = [np.unique(np.concatenate([_grams(f) for f in fs])) for fs in items.fields]
+        flat = np.concatenate(grams)
+        order = np.argsort(flat, kind="stable")
+        self.gram, self.gram_item = flat[order], np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.fields = [(k, f.tolist(), len(set(f.tolist()))) for k, fs in enumerate(items.fields) for f in fs]
+        pairs = np.array([(w, n) for n, (_, f, _) in enumerate(self.fields) for w in set(f)], dtype=np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.word_field = pairs[:, 1]
+        self.word_at = np.searchsorted(pairs[:, 0], np.arange(len(items.vocabulary) + 1))
+        self.owner = np.array([k for k, _, _ in self.fields])
+        self.need = LCS * np.array([n for _, _, n in self.fields])
+
+    def verbatim(self, ids: np.ndarray) -> set[int]:
+        """Items that share a run with the document."""
+        own = _grams(ids)
+        a, b = np.searchsorted(self.gram, own, "left"), np.searchsorted(self.gram, own, "right")
+        return {int(k) for i in np.flatnonzero(b > a) for k in self.gram_item[a[i] : b[i]]}
+
+    def paraphrased(self, ids: np.ndarray, candidates: np.ndarray) -> set[int]:
+        """Candidates of which enough words stand in the document in order, with half of the answer's numbers and names."""
+        words = ids[ids >= 0]
+        present = np.unique(words)
+        held = np.bincount(np.concatenate([self.word_field[self.word_at[w] : self.word_at[w + 1]] for w in present]), minlength=len(self.fields))
+        likely = np.flatnonzero((held >= self.need) & np.isin(self.owner, candidates))
+        out, text, have = set(), None, None
+        for n in likely:
+            k, f, _ = self.fields[n]
+            if text is None:
+                text, have = words.tolist(), set(present.tolist())
+            key = self.items.key[k]
+            if lcs_length(f, text) >= LCS * len(f) and (not key or 2 * len(key & have) >= len(key)):
+                out.add(k)
+        return out
 
 
 def _leaks_of(tokens: DataFrame, items: Items, kind: str, rank: int, cosine: float) -> DataFrame:
@@ -242,29 +270,26 @@ def _leaks_of(tokens: DataFrame, items: Items, kind: str, rank: int, cosine: flo
     M = (idf[:, None] * X).astype(np.float32)
     Q = _unit(np.array([M[p].sum(axis=0) for p in items.passages], dtype=np.float32))
     owner = items.owner
-    grams = [np.unique(np.concatenate([_grams(f) for f in fs])) for fs in items.fields]
+    checks = _Checks(items)
     ids_of = np.array(items.ids)
-    begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])  # passages of an item are neighbours
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for docs, flat, first, block_owner in _chunks(batches, 20_000):
             P = _unit(_windows(_block_sums(flat, M), block_owner))
-            best = np.zeros((len(docs), len(begins)), dtype=np.float32)
+            best = np.zeros((len(docs), len(ids_of)), dtype=np.float32)
             for a in range(0, len(P), 1024):
-                s = np.ascontiguousarray(np.maximum.reduceat(Q @ P[a : a + 1024].T, begins, axis=0).T)
-                o = block_owner[a : a + 1024]
-                at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-                best[o[at]] = np.maximum(best[o[at]], np.maximum.reduceat(s, at, axis=0))
+                s = (Q @ P[a : a + 1024].T).ravel()
+                near = np.flatnonzero(s >= cosine)
+                q, w = np.divmod(near, min(1024, len(P) - a))
+                np.maximum.at(best, (block_owner[a + w], owner[q]), s[near])
             out = []
             ends = np.r_[first[1:], len(block_owner)] * BLOCK
-            seen = -1
-            for d, k in zip(*np.nonzero(best >= cosine)):
-                if d != seen:
-                    seen, ids = d, flat[first[d] * BLOCK : ends[d]]
-                    own = _grams(ids)
-                how = _checked(items, grams, ids, own, k)
-                if how:
-                    out.append((docs[d], ids_of[k], how, float(best[d, k])))
+            for d in np.flatnonzero((best >= cosine).any(1)):
+                ids = flat[first[d] * BLOCK : ends[d]]
+                candidates = np.flatnonzero(best[d] >= cosine)
+                exact = checks.verbatim(ids) & set(candidates.tolist())
+                loose = checks.paraphrased(ids, candidates) - exact
+                out += [(docs[d], ids_of[k], how, float(best[d, k])) for how, found in (("verbatim", exact), ("paraphrase", loose)) for k in sorted(found)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "cosine"])
 
     return tokens.mapInPandas(run, f"doc_id {kind}, item_id bigint, kind string, cosine float")
