@@ -42,15 +42,14 @@ def lowered(text: Column) -> Column:
 
 def tokens(text: Column, stop: list[str] | None = None) -> Column:
     """Search tokens in order: letters and digits with their marks, at least two characters, no function words. Null text has none."""
-    drop = F.array(*[F.lit(w) for w in (stop if stop is not None else [*STOP_EN, *STOP_DE])])
+    drop = stop if stop is not None else [*STOP_EN, *STOP_DE]  # a hash set in the plan
     found = F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) >= 2) & ~F.array_contains(drop, w))
+    return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(drop))
 
 
 def local_tokens(text: Column) -> Column:
     """Tokens of the local ranking: longer than two characters, its own list of function words."""
-    drop = F.array(*[F.lit(w) for w in STOP_LOCAL])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~F.array_contains(drop, w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_LOCAL))
 
 
 def query_tokens(query: str) -> list[str]:
@@ -86,8 +85,7 @@ def fence_safe(text: Column) -> Column:
 
 
 def _members(words: Column, of: list[str]) -> Column:
-    own = F.array(*[F.lit(w) for w in of])
-    return F.size(F.filter(words, lambda w: F.array_contains(own, w)))
+    return F.size(F.filter(words, lambda w: w.isin(of)))
 
 
 def guess_language(text: Column, only: dict[str, list[str]], letters: dict[str, str]) -> Column:

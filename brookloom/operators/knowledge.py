@@ -73,9 +73,8 @@ def exploded_payload(payloads: DataFrame) -> DataFrame:
 
 def lexemes(text: Column) -> Column:
     """Distinct search words of a text, unstemmed: two characters or more, none of the function words of the search."""
-    drop = F.array(*[F.lit(w) for w in words.STOP_SEARCH])
     all_words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(words.WORD), F.lit(0))
-    return F.array_distinct(F.filter(all_words, lambda w: (F.length(w) > 1) & ~F.array_contains(drop, w)))
+    return F.array_distinct(F.filter(all_words, lambda w: (F.length(w) > 1) & ~w.isin(words.STOP_SEARCH)))
 
 
 def search(docs: DataFrame, sections: DataFrame, terms: list[str], limit: int = 6) -> DataFrame:
