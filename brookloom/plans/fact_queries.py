@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from brookloom.functions import agenda, cuts, facts
+from brookloom.functions import agenda, cuts, facts, structured
 from brookloom.session import table
 
 
@@ -63,7 +63,22 @@ def recurrence_next(spark, sf_dir):
     return agenda.upcoming(rules, datetime(2026, 3, 1), datetime(2026, 4, 30))
 
 
-QUERIES = {f.__name__: f for f in (fact_kinds, iso_dates, fact_lookup, verdict_counts, recurrence_next)}
+def calculator(spark, sf_dir):
+    """Prices written as expressions and worked out from the text."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", F.format_string("%.2f*(1-%.2f)*(1+%.2f)", "l_extendedprice", "l_discount", "l_tax").alias("text"))
+    worked = cuts.exploded(lines, "l_orderkey", "text", lambda t: [(structured.calculated(t),)], "price double")
+    return worked.groupBy((F.col("l_orderkey") % 100).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
+
+
+def body_schema(spark, sf_dir):
+    """Bodies of public samples against the contract of a sample: broken rules and how often."""
+    log = table(spark, sf_dir, "event_log").filter((F.col("type") == "feed.sample") & (F.col("class") == "public"))
+    schema = {"type": "object", "required": ["series", "value", "quality"], "properties": {"series": {"type": "string", "minLength": 1}, "value": {"type": "number"}, "unit": {"type": "string", "maxLength": 32}, "quality": {"enum": ["good", "uncertain", "bad"]}}}
+    return structured.schema_findings(log, "seq", "body", schema).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (fact_kinds, iso_dates, fact_lookup, verdict_counts, recurrence_next, calculator, body_schema)}
 SQL = {
+    "calculator": "SELECT l_orderkey % 100 AS part, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS total FROM lineitem WHERE l_linenumber = 1 GROUP BY 1",
     "iso_dates": "SELECT item_id, 'd:' || unnest(regexp_extract_all(regexp_replace(answer, '[“„«][^“”„«»\\n]{3,200}?[”“»]', ' ', 'g'), '\\b\\d{4}-\\d{2}-\\d{2}\\b')) AS key FROM eval_items",
 }
