@@ -172,7 +172,8 @@ def reasons(sessions: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, rows: DataFrame) -> DataFrame:
     """(session_id, turn, role, content) of the sound sessions, system messages included; turns count from 1."""
     sound = validated(messages).filter("not (empty or missing_reply or broken)").select("session_id")
-    kept = ordered(messages.join(sound, "session_id", "left_semi"))
+    # stored once: each further use of the ranges would sample bounds of its own, and stretches would not agree
+    kept = staged(ordered(messages.join(sound, "session_id", "left_semi")), "ordered")
     below = Window.partitionBy("session_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = kept.groupBy("session_id", "stretch").agg(F.count(F.lit(1)).alias("n")).select("session_id", "stretch", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"))
     inside = Window.partitionBy("session_id", "stretch").orderBy("at", "place", "id")

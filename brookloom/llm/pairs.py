@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from brookloom.llm import chats
 from brookloom.llm.texts import ALNUM
+from brookloom.session import staged
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -435,7 +436,7 @@ def question_answers(rows: DataFrame) -> DataFrame:
         .select("session_id", "id", "at", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
         .filter(F.col("role").isin("user", "assistant"))
     )
-    placed = chats.ordered(once)
+    placed = staged(chats.ordered(once), "ordered")  # stored once: stretches must be the same on both sides of the join
     inside = Window.partitionBy("session_id", "stretch").orderBy("at", "place", "id")
     here = placed.withColumn("before", F.lag(F.struct("role", "content")).over(inside))
     # the first message of a stretch follows the last one of the stretch before; a session has at most one stretch for each partition

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from brookloom.llm import chats
+from pyspark.sql import functions as F
 
 T0 = datetime(2025, 1, 1)
 
@@ -72,3 +73,24 @@ def test_edges(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert found(spark, write(spark, tmp_path, [])) == set()
+
+
+def test_conversations_over_several_stretches(spark):
+    n = 60_000
+    k = F.col("k")
+    rows = spark.range(n).select(
+        F.format_string("s%05d", F.floor(F.col("id") / 6)).alias("session_id"), F.format_string("m%06d", "id").alias("id"), (F.col("id") % 6).alias("k")
+    ).select("session_id", "id", F.when(k % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), "id").alias("content"), F.timestamp_seconds(k * 60).alias("created_at"))
+    messages = rows.select("session_id", "id", F.unix_micros("created_at").alias("at"), "role", F.lit(True).alias("solid"))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows are one stretch
+    held = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        assert chats.ordered(messages).select("stretch").distinct().count() > 1
+        got = chats.conversations(messages, rows).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("m")).collect()
+    finally:
+        spark.conf.set(setting, held)
+    assert sum(len(r.m) for r in got) == n
+    for r in got:
+        first = int(r.session_id[1:]) * 6
+        assert [(m.turn, m.role, m.content) for m in r.m] == [(t + 1, ("user", "assistant")[t % 2], f"text m{first + t:06}") for t in range(6)]
