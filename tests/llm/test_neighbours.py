@@ -50,3 +50,21 @@ def test_edges(spark):
     assert {k: [o for _, o in sorted(v)] for k, v in got.items()} == {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b"], "d": ["huge", "a"], "huge": ["a", "b"]}
     assert nb.neighbours(df.limit(0), k=2, dim=2).count() == 0
     assert nb.neighbours(df.filter("id = 'a'"), k=2, dim=2).count() == 0
+
+
+def recall_of(spark, n, shard):
+    X = np.random.default_rng(7).standard_normal((n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)], "id long, embedding array<float>")
+    got = {}
+    for r in nb.neighbours(df, shard=shard).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    S = U[:200] @ U.T
+    S[np.arange(200), np.arange(200)] = -1
+    T = np.argsort(-S, axis=1)[:, :5]
+    return np.mean([len(got[i] & set(T[i].tolist())) / 5 for i in range(200)])
+
+
+def test_recall_holds_with_many_centres(spark, monkeypatch):
+    monkeypatch.setattr(nb, "ASKED", 1_000, raising=False)  # several slices a shard
+    assert recall_of(spark, 6000, shard=100) >= 0.9
