@@ -25,7 +25,7 @@ def name_key(spark, sf_dir):
 
 
 def fence_safe(spark, sf_dir):
-    t = F.concat(F.lit("<<"), "source", F.lit(">>> <"), F.left(F.col("text"), F.lit(40)))
+    t = F.concat(F.lit("<<"), "source", F.lit(">>> <"), "text")
     return _docs(spark, sf_dir).filter("source is not null").select("doc_id", words.fence_safe(t).alias("text"))
 
 
