@@ -122,7 +122,7 @@ def chunk_context(spark, sf_dir):
 
 def exploded_payload(spark, sf_dir):
     """Sections of each document as a JSON array, taken apart again by position."""
-    s = _sections(spark, sf_dir).filter("section_index < 3")
+    s = _sections(spark, sf_dir)
     payload = s.groupBy(F.col("document_id").alias("doc_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("section_index", "id", "heading"))), lambda x: F.struct(x["heading"].alias("heading"), x["id"].alias("content")))).alias("sections"))
     return k.exploded_payload(payload)
 
