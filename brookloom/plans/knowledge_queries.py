@@ -58,7 +58,7 @@ def keyset_page(spark, sf_dir):
 
 
 def section_payload(spark, sf_dir):
-    p = k.section_payload(_sections(spark, sf_dir), 64, heading=8, content=100)
+    p = k.section_payload(_sections(spark, sf_dir), 64)
     return p.select("id", "heading", "markdown_content", F.col("embedding").isNotNull().alias("has_vector"))
 
 
