@@ -12,7 +12,7 @@ All steps of a batch run in lockstep as array operations. Searches start at the
 centre) is dealt by hash into sub-shards whose members are queries in every sub-shard. Equal vectors are one node: copies share
 their neighbours, and each copy lists the copies with the least ids first.
 
-Scale: vectors are routed through the upper centres to a few lower ones, sqrt(centres) comparisons each. The sample is bounded by
+Scale: vectors are routed through the upper centres to some lower ones, about UPPERS sqrt(centres) comparisons each. The sample is bounded by
 SAMPLE_BYTES, at SAMPLE_EACH vectors a centre; from there on the number of centres stays and shards grow.
 
 Defined cases: null vectors, those of another length, with non-finite numbers or all zero are not usable and left out; repeated ids
@@ -48,6 +48,8 @@ SAMPLE_EACH = 8
 SAMPLE_BYTES = 64 << 20
 #: Up to this many centres every one is compared.
 FLAT = 256
+#: Of more, those below so many upper centres.
+UPPERS = 12
 DEGREE = 20
 #: Edges from which a list is pruned to DEGREE again.
 SLACK = 28
@@ -111,13 +113,13 @@ class Centres:
         self.first = np.cumsum([0, *map(len, parts)])
 
     def nearest(self, X: np.ndarray, k: int) -> np.ndarray:
-        """The k nearest lower centres, nearest first; of many centres, those below the upper centres that hold four times as many."""
+        """The k nearest lower centres, nearest first; of many centres, those below the nearest UPPERS upper centres, or more until they hold four times as many."""
         if not len(self.upper):
             return np.argsort(-(X @ self.C.T), axis=1, kind="stable")[:, :k]
         size = np.diff(self.first)
         order = np.argsort(-(X @ self.upper.T), axis=1, kind="stable")
         held = np.cumsum(size[order], axis=1)
-        asked = held - size[order] < min(4 * k, len(self.C))
+        asked = (held - size[order] < min(4 * k, len(self.C))) | (np.arange(len(size)) < UPPERS)
         sim = np.full((len(X), len(self.C)), -2.0, dtype=np.float32)
         for u in range(len(self.upper)):
             rows = np.flatnonzero((asked & (order == u)).any(1))
@@ -404,14 +406,16 @@ def node_neighbours(nodes: DataFrame, k: int, dim: int, shard: int, overlap: int
         V = np.frombuffer(b"".join(b["v"]), dtype=np.float32).reshape(-1, dim)
         held = b["indexed"].to_numpy()
         names = np.concatenate([b["node"].to_numpy()[held], b["node"].to_numpy()[~held]])
-        if not held.any():
-            return pd.DataFrame({"node": [], "others": [], "sims": []})
-        graph = Shard(np.ascontiguousarray(V[held]))
-        graph.ask(V[~held])
-        one, other, sim = graph.pairs(k, int((~held).sum()))
-        cut = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])[1:] if len(one) else []
-        first = np.r_[0, cut].astype(np.int64) if len(one) else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"node": names[one[first]], "others": np.split(names[other], cut) if len(one) else [], "sims": np.split(sim, cut) if len(one) else []})
+        none = np.zeros(0, dtype=np.int64)
+        if held.any():
+            graph = Shard(np.ascontiguousarray(V[held]))
+            graph.ask(V[~held])
+            one, other, sim = graph.pairs(k, int((~held).sum()))
+        else:
+            one, other, sim = none, none, none
+        first = np.flatnonzero(np.r_[True, one[1:] != one[:-1]]) if len(one) else none
+        lists = [np.split(x, first[1:]) if len(one) else [] for x in (names[other], sim)]
+        return pd.DataFrame({"node": names[one[first]], "others": pd.Series(lists[0], dtype=object), "sims": pd.Series(lists[1], dtype=object)})
 
     found = asked.groupBy("shard", "part", "slice").applyInPandas(run, "node bigint, others array<bigint>, sims array<float>")
     # one exchange by node serves the maximum and the ranking below

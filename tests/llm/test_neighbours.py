@@ -68,3 +68,39 @@ def recall_of(spark, n, shard):
 def test_recall_holds_with_many_centres(spark, monkeypatch):
     monkeypatch.setattr(nb, "ASKED", 1_000, raising=False)  # several slices a shard
     assert recall_of(spark, 6000, shard=100) >= 0.9
+
+
+def drifting(n, seed=9):
+    """Vectors of 64 numbers with topics, near copies and much noise, as dense as text embeddings are at most."""
+    r = np.random.default_rng(seed)
+    topics = r.standard_normal((max(2, n // 40), 64))
+    X = 0.8 * topics[r.integers(0, len(topics), n)] + r.standard_normal((n, 64))
+    at = r.permutation(n)[: n // 10]
+    X[at] = X[r.permutation(n)[: n // 10]] + 0.1 * r.standard_normal((n // 10, 64))
+    return X.astype(np.float32)
+
+
+def test_recall_at_two_sizes(spark):
+    for n in (20_000, 95_000):
+        X = drifting(n)
+        pdf = __import__("pandas").DataFrame({"id": np.arange(n), "embedding": list(X)})
+        got = {}
+        for r in nb.neighbours(spark.createDataFrame(pdf, "id long, embedding array<float>").repartition(8)).filter("id % 50 = 0").collect():
+            got.setdefault(r.id, set()).add(r.other)
+        U = X / np.linalg.norm(X, axis=1, keepdims=True)
+        asks = np.arange(0, n, 50)
+        S = U[asks] @ U.T
+        S[np.arange(len(asks)), asks] = -2
+        T = np.argpartition(-S, 5, axis=1)[:, :5]
+        recall = np.mean([len(got[i] & set(t.tolist())) / 5 for i, t in zip(asks.tolist(), T)])
+        print(n, recall)
+        assert recall >= 0.92, n
+
+
+def test_upper_centres_route_like_a_full_comparison(monkeypatch):
+    X = drifting(20_000)
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    c = nb.Centres(X, 900)
+    assert len(c.upper) == 30 and 800 <= len(c.C) <= 900
+    full = np.argsort(-(X[:500] @ c.C.T), axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(c.nearest(X[:500], 6), full)]) >= 0.85
