@@ -30,6 +30,8 @@ from brookloom.session import staged
 
 MOST_TARGETS = 100_000
 CHUNK = 1 << 16
+#: Slots by which a source's number may miss its share, for each doubling of the row of slots.
+DISCREPANCY = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # 2**64 / golden ratio
 
 
@@ -50,7 +52,7 @@ def token_count(text: str, vocabulary: str | None = None) -> Column:
     @F.pandas_udf("bigint")
     def count(s: pd.Series) -> pd.Series:
         e = _encoder(vocabulary)
-        return s.map(lambda t: len(e.encode_ordinary(t)) if t else 0)
+        return pd.Series([len(x) for x in e.encode_ordinary_batch([t or "" for t in s], num_threads=1)], index=s.index)
 
     return count(F.col(text))
 
@@ -70,7 +72,7 @@ def _checked(targets: DataFrame) -> DataFrame:
 
 
 def totals(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
-    """One row for each target: own tokens, capacity, blocks and the exact test for shortage."""
+    """One row for each target: own tokens, capacity, wanted tokens and blocks."""
     own = sizes.groupBy("source").agg(F.sum("tokens").alias("own"), F.count(F.lit(1)).alias("docs"))
     rows = targets.select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).cast("bigint").alias("max_repeats"))
     rows = rows.join(own, "source", "left").fillna(0, ["own", "docs"])
@@ -82,7 +84,6 @@ def totals(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
         (F.col("own") * F.col("max_repeats")).alias("capacity"),
         (F.col("weight") * F.col("total")).alias("wanted"),
         F.ceil(F.col("own") / F.lit(block)).cast("bigint").alias("blocks"),
-        (F.col("own") * F.col("max_repeats") < F.col("weight") * F.col("total")).alias("short"),
     )
 
 
@@ -156,17 +157,34 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, vocabulary: str |
     return slots.join(part, ["source", "block"]).select("slot", "source", "pass", "doc_id", "from_token", "to_token")
 
 
+def filled(report: DataFrame, block: int) -> DataFrame:
+    """Adds to the targets: slots that the schedule gives a source, those that its blocks fill, and whether it runs short.
+
+    A source may run short if slots stay empty, or nearly: the points of the schedule miss a source's share by a few slots (DISCREPANCY for
+    each doubling of the row). For those sources the exact sizes decide.
+    """
+    slots = schedule(report, block).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    out = report.join(slots, "source", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    near = F.lit(DISCREPANCY) * (2 + F.log2(2 + F.col("total") / block))
+    weights = Window.partitionBy()  # a row for each target
+    likely = (F.col("slots") * F.sum("weight").over(weights) + near) * block >= F.col("capacity")
+    return out.withColumn("filled", F.least(F.col("slots"), F.col("blocks") * F.col("max_repeats"))).withColumn("short", likely & (F.col("capacity") < F.col("wanted")))
+
+
+def shortage(docs: DataFrame, targets: DataFrame, block: int = 512, vocabulary: str | None = None) -> DataFrame:
+    """(source): the sources whose documents, used as often as allowed, can't fill their slots."""
+    return filled(totals(sized(docs, targets, vocabulary), targets, block), block).filter("short").select("source")
+
+
 def shares(docs: DataFrame, targets: DataFrame, block: int = 512, vocabulary: str | None = None) -> DataFrame:
     """Target and actual share of every source, and whether its documents suffice."""
-    sizes = sized(docs, targets, vocabulary)
-    report = totals(sizes, targets, block)
-    slots = schedule(report, block).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
-    out = report.join(slots, "source", "left").fillna(0, ["slots"])
-    # full passes hold all tokens of the source, the last one its first blocks; a tail block is shorter
-    filled = F.least(F.col("slots"), F.col("blocks") * F.col("max_repeats"))
-    rest = F.when(F.col("blocks") > 0, filled % F.col("blocks")).otherwise(0)
-    passes = F.when(F.col("blocks") > 0, F.expr("least(slots, blocks * max_repeats) div blocks")).otherwise(0)
-    out = out.withColumn("filled", filled).withColumn("placed", passes * F.col("own") + F.least(rest * F.lit(block), F.col("own")))
+    out = filled(totals(sized(docs, targets, vocabulary), targets, block), block)
+    # full passes hold all tokens of the source; pass p, the last, begins at block p, and the tail block may be among its own
+    some = F.col("blocks") > 0
+    out = out.withColumn("passes", F.when(some, F.expr("filled div blocks")).otherwise(0)).withColumn("rest", F.when(some, F.expr("filled % blocks")).otherwise(0))
+    tail = some & (F.expr("pmod(blocks - 1 - passes, blocks)") < F.col("rest"))
+    placed = F.col("passes") * F.col("own") + F.col("rest") * block - F.when(tail, F.col("blocks") * block - F.col("own")).otherwise(0)
+    out = out.withColumn("placed", placed)
     whole = out.agg(F.sum("placed").alias("all_placed"))
     return out.crossJoin(whole).select(  # one row
         "source", "weight", "max_repeats", "docs", "own", "capacity", "wanted", "slots", "filled", "placed",

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brookloom.llm.splitting import pieces
+from brookloom.llm.splitting import oversized, pieces
 from brookloom.llm.texts import SOLID_JAVA, records
 
 
 def p5_found(spark, sf_dir):
     """Records that the splitter cuts because they exceed a limit."""
-    return pieces(records(spark, sf_dir), oversized_only=True).select("kind", "id").distinct()
+    return oversized(records(spark, sf_dir))
 
 
 def p5_pieces(spark, sf_dir):
     """The pieces of the oversized records by offsets."""
-    return pieces(records(spark, sf_dir), oversized_only=True).dropDuplicates(["kind", "id", "piece"])
+    return pieces(records(spark, sf_dir), oversized_only=True)
 
 
 def p5_boundaries(spark, sf_dir):

@@ -9,7 +9,8 @@ Offsets and lengths are code points. Pieces are slices of the text from a word's
 pieces is left out, so the text can be put together again from the offsets.
 
 Defined cases: a null or blank text has no piece; a text within the limits is one piece, the text without outer white space;
-repeated rows of an id are one record (for equal texts either; else the greatest text); extra columns are ignored.
+repeated rows of an id are one record (for equal texts either; else the longest text that is cut, of equal length the one with the
+greatest hash); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookloom.llm.texts import SOLID
@@ -113,35 +114,47 @@ def split(text: str | None, limits: Limits) -> list[tuple[int, int, int, int, st
     return out
 
 
-def pieces(rows: DataFrame, limits: dict[str, Limits] | None = None, oversized_only: bool = False) -> DataFrame:
-    """One row for each piece of each record of rows (kind, id, text).
+def _cut(rows: DataFrame, limits: dict[str, Limits], oversized_only: bool) -> DataFrame:
+    """The pieces of every row, with the length and hash of its text.
 
     ``oversized_only`` keeps the records that exceed a limit; the scan then drops texts that are too short to exceed either
     before they reach Python (w words need at least 2w - 1 characters).
     """
-    limits = limits or LIMITS
     base = rows.select("kind", "id", "text").filter(F.col("kind").isin(list(limits)) & F.col("id").isNotNull() & F.col("text").isNotNull())
     if oversized_only:
         long = F.lit(False)
         for kind, x in limits.items():
-            long = long | ((F.col("kind") == kind) & (F.char_length("text") > min(x.chars, 2 * x.words)))
+            long = long | ((F.col("kind") == kind) & (F.char_length("text") > min(x.chars, 2 * x.words - 2)))
         base = base.filter(long)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for kind, i, text in zip(b["kind"], b["id"], b["text"]):
+            for kind, i, text, mark in zip(b["kind"], b["id"], b["text"], b["mark"]):
                 x = limits[kind]
                 if oversized_only and len(text) <= x.chars and sum(1 for _ in SOLID.finditer(text)) <= x.words:
                     continue
-                out += [(kind, i, k, *p) for k, p in enumerate(split(text, x))]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+                out += [(kind, i, k, *p, len(text), mark) for k, p in enumerate(split(text, x))]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in f"{PIECES}, size int, mark bigint".split(", ")])
+
+    return base.withColumn("mark", F.xxhash64("text")).mapInPandas(run, f"{PIECES}, size int, mark bigint")
+
+
+def pieces(rows: DataFrame, limits: dict[str, Limits] | None = None, oversized_only: bool = False) -> DataFrame:
+    """One row for each piece of each record of rows (kind, id, text). Repeated records are settled by their pieces, texts aren't moved."""
+    cut = _cut(rows, limits or LIMITS, oversized_only)
+    longest = F.max(F.struct("size", "mark")).over(Window.partitionBy("kind", "id"))
+    own = cut.withColumn("longest", longest).filter((F.col("size") == F.col("longest.size")) & (F.col("mark") == F.col("longest.mark")))
+    return own.dropDuplicates(["kind", "id", "piece"]).drop("size", "mark", "longest")
+
 
-    return base.mapInPandas(run, PIECES)
+def oversized(rows: DataFrame, limits: dict[str, Limits] | None = None) -> DataFrame:
+    """(kind, id) of the records that are cut because a text of theirs exceeds a limit."""
+    return _cut(rows, limits or LIMITS, True).select("kind", "id").distinct()
 
 
 def piece_texts(rows: DataFrame, limits: dict[str, Limits] | None = None) -> DataFrame:
     """The pieces of every record with their text; repeated rows count once."""
-    once = rows.groupBy("kind", "id").agg(F.max("text").alias("text"))
+    once = rows.groupBy("kind", "id").agg(F.max_by("text", F.struct(F.char_length("text"), F.xxhash64("text"))).alias("text"))
     cut = pieces(once, limits)
     return cut.join(once, ["kind", "id"]).withColumn("text", F.expr("substring(text, start + 1, end - start)"))

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from brookloom.llm.splitting import Limits, pieces, split
+from brookloom.llm.splitting import Limits, oversized, piece_texts, pieces, split
 from brookloom.llm.texts import SOLID
 
 
@@ -58,3 +58,13 @@ def test_frame(spark):
     got = {(r.kind, r.id) for r in pieces(rows, oversized_only=True).collect()}
     assert got == {("section", "a"), ("document", "a")}
     assert pieces(rows.limit(0)).count() == 0
+
+
+def test_repeated_id_with_other_texts(spark):
+    long, longer = " ".join(f"a{i}" for i in range(700)), " ".join(f"b{i}" for i in range(900))
+    df = spark.createDataFrame([("section", "x", long), ("section", "x", longer), ("section", "x", longer), ("section", "x", "short")], "kind string, id string, text string")
+    got = pieces(df).collect()
+    assert sorted(r.piece for r in got) == list(range(len(split(longer, Limits(300, 2400)))))
+    assert {(r.start, r.end) for r in got} == {p[:2] for p in split(longer, Limits(300, 2400))}
+    assert [(r.kind, r.id) for r in oversized(df).collect()] == [("section", "x")]
+    assert all("b" in r.text and "a" not in r.text for r in piece_texts(df).collect())
