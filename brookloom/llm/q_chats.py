@@ -11,11 +11,11 @@ def _path(sf_dir):
 
 def p4_found(spark, sf_dir):
     """Sessions that the stream's validation leaves out, by reason."""
-    return chats.reasons(chats.validated(chats.run(spark, _path(sf_dir))))
+    return chats.reasons(chats.verdicts(chats.run(spark, _path(sf_dir))))
 
 
 def p4_sessions(spark, sf_dir):
-    return chats.validated(chats.run(spark, _path(sf_dir))).select("session_id", "empty", "missing_reply", "broken", "turns")
+    return chats.verdicts(chats.run(spark, _path(sf_dir))).select("session_id", "empty", "missing_reply", "broken", "turns")
 
 
 def p4_conversations(spark, sf_dir):

@@ -49,7 +49,7 @@ def sample(seed, hot=0):
 
 
 def found(spark, path, **options):
-    return {(r.session_id, r.reason) for r in chats.reasons(chats.validated(chats.run(spark, path, **options))).collect()}
+    return {(r.session_id, r.reason) for r in chats.reasons(chats.verdicts(chats.run(spark, path, **options))).collect()}
 
 
 def test_against_restatement(spark, tmp_path):
@@ -75,6 +75,31 @@ def test_empty(spark, tmp_path):
     assert found(spark, write(spark, tmp_path, [])) == set()
 
 
+def lone_fragments(messages):
+    """Each message as a fragment of its own, as late rows would come."""
+    one = [F.array(c).alias(n) for n, c in (("ids", "id"), ("ats", "at"), ("roles", "role"), ("solids", "solid"))]
+    no = F.lit(False)
+    return messages.select("session_id", F.lit(True).alias("closed"), no.alias("empty"), no.alias("missing_reply"), no.alias("broken"), F.lit(1).cast("bigint").alias("turns"), F.col("at").alias("began"), *one)
+
+
+def test_full_buffers_and_freed_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chats, "FULL", 50)
+    rows = sample(5, hot=300)
+    path = write(spark, tmp_path, rows, files=4)
+    frags = chats.run(spark, path, files_per_batch=1, each=20, delay="1 second", gap_ms=1000)
+    per = {r.session_id: r["count"] for r in frags.groupBy("session_id").count().collect()}
+    assert max(per.values()) > 2 and not frags.filter("not closed").isEmpty()
+    assert {(r.session_id, r.reason) for r in chats.reasons(chats.verdicts(frags)).collect()} == expected(rows)
+
+
+def test_lone_file(spark, tmp_path):
+    rows = sample(6)
+    part = next(p for p in __import__("pathlib").Path(write(spark, tmp_path, rows)).iterdir() if p.name.endswith(".parquet"))
+    lone = tmp_path / "lone.parquet"
+    lone.write_bytes(part.read_bytes())
+    assert found(spark, str(lone)) == expected(rows)
+
+
 def test_conversations_over_several_stretches(spark):
     n = 60_000
     k = F.col("k")
@@ -87,7 +112,7 @@ def test_conversations_over_several_stretches(spark):
     spark.conf.set(setting, "false")
     try:
         assert chats.ordered(messages).select("stretch").distinct().count() > 1
-        got = chats.conversations(messages, rows).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("m")).collect()
+        got = chats.conversations(lone_fragments(messages), rows).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("m")).collect()
     finally:
         spark.conf.set(setting, held)
     assert sum(len(r.m) for r in got) == n
