@@ -3,15 +3,17 @@
 Method: passages (windows of words) of documents and of evaluation items are TF-IDF vectors over the items' vocabulary; other words
 can't be part of a leak. A randomised SVD, distributed over the documents' passages (each partition adds its part of A'(A X); only
 matrices of vocabulary x RANK meet), gives a latent space. Every passage of every document is compared with every item passage by
-cosine there; what reaches COSINE is a candidate pair of document and item. Candidates are then checked on the whole texts: a run of
-at least ``run`` common words is a leak (``verbatim``); else a longest common subsequence of at least LCS of the item's words, together
-with at least half of the answer's numbers and names, is a ``paraphrase``.
+cosine there. Where it reaches COARSE, the document passage is compared again at every place in it, in windows of the item passage's
+length. A document and an item are a candidate pair if a passage reaches SAME at its best place, or SHARE of a field's passages reach
+COSINE. Only candidates are checked on the whole texts: a run of at least RUN common words is a leak (``verbatim``); else a longest common subsequence of at
+least LCS of the item's words, together with at least half of the answer's numbers and names, is a ``paraphrase``.
 
 Windows are laid so that a run of 12 words holds a whole item passage (8 words, every 5th start), which lies within one document
-passage (18 words, every 9th start).
+passage (18 words, every 9th start) and equals one of its windows, at a cosine of 1.
 
-Scale: the documents are read and tokenised once into a table of word numbers; item passages, vocabulary and basis are bounded by the
-items, which are taken in blocks of ITEMS (one scan for each block) and are all that is broadcast. No shuffle of documents.
+Scale: the documents are read and tokenised once into a table of word numbers. Item passages, vocabulary and basis are bounded by the
+items, whose texts are held on the driver; they are compared in blocks of ITEMS, each one pass over the word numbers. No shuffle of
+documents.
 
 Defined cases: a word is a run of letters and digits, lower-cased; null or short texts and items without 12 words in question or answer
 give nothing; repeated documents and items each give their rows once by id; extra columns are ignored; empty tables give empty results.
@@ -35,7 +37,10 @@ RUN = 12
 ITEM_WINDOW, ITEM_STEP = 8, 5
 BLOCK = 9  # a document passage is two neighbouring blocks of words
 RANK = 96
-COSINE = 0.45
+COARSE = 0.65
+COSINE = 0.75
+SHARE = 0.4
+SAME = 0.999
 LCS = 0.6
 ITEMS = 2_000
 ROUNDS = 2
@@ -50,12 +55,13 @@ class Items:
     key: list[set[int]]  # numbers and names of the answer
     vocabulary: dict[str, int]
     passages: list[np.ndarray]
-    owner: np.ndarray
+    owner: np.ndarray  # the item of a passage, and the first passage of each field
+    field_at: np.ndarray
 
 
 def read_items(rows: list) -> Items:
     vocabulary: dict[str, int] = {}
-    ids, fields, key, passages, owner = [], [], [], [], []
+    ids, fields, key, passages, owner, field_at = [], [], [], [], [], []
     for r in rows:
         own = []
         for text in (r["question"], r["answer"]):
@@ -67,12 +73,13 @@ def read_items(rows: list) -> Items:
         k = len(ids)
         ids.append(r["item_id"])
         fields.append(own)
-        key.append({vocabulary[x.lower()] for x in ALNUM.findall(r["answer"] or "") if (x[0].isdigit() or x[0].isupper()) and x.lower() in vocabulary})
+        key.append({vocabulary.setdefault(x.lower(), len(vocabulary)) for x in ALNUM.findall(r["answer"] or "") if x[0].isdigit() or x[0].isupper()})
         for f in own:
+            field_at.append(len(passages))
             for a in range(0, len(f) - ITEM_WINDOW + 1, ITEM_STEP):
                 passages.append(f[a : a + ITEM_WINDOW])
                 owner.append(k)
-    return Items(ids, fields, key, vocabulary, passages, np.array(owner, dtype=np.int64))
+    return Items(ids, fields, key, vocabulary, passages, np.array(owner, dtype=np.int64), np.array(field_at, dtype=np.int64))
 
 
 def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -93,13 +100,14 @@ def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return spread(texts).mapInPandas(run, f"doc_id {kind}, ids array<int>")
 
 
-def _chunks(batches: Iterator[pd.DataFrame], words: int = 40_000) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, flat ids, first block of each document, document of each block). Documents are padded to whole blocks."""
+def _chunks(batches: Iterator[pd.DataFrame], own: np.ndarray, words: int = 40_000) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, flat ids, first block of each document, document of each block). Documents are padded to whole blocks; own gives the block's
+    number of a word, its last entry that of an unknown one."""
     held: list = []
     n = 0
     for b in batches:
         for i, ids in zip(b["doc_id"], b["ids"]):
-            held.append((i, ids))
+            held.append((i, own[ids]))
             n += len(ids)
             if n >= words:
                 yield _pack(held)
@@ -154,7 +162,7 @@ def _scatter(flat: np.ndarray, Y: np.ndarray, owner: np.ndarray, size: int) -> n
     return out
 
 
-def basis(tokens: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+def basis(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Vocabulary x rank: the leading right singular directions of the TF-IDF passages of documents and items.
 
     Randomised subspace iteration. Item passages weigh as much as all document passages together, so the space keeps what tells
@@ -169,7 +177,7 @@ def basis(tokens: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) ->
 
         def sketch(batches: Iterator[pd.DataFrame], M: np.ndarray = M) -> Iterator[pd.DataFrame]:
             total = np.zeros_like(M)
-            for _, flat, _, owner in _chunks(batches):
+            for _, flat, _, owner in _chunks(batches, own):
                 total += _scatter(flat, _windows(_block_sums(flat, M), owner), owner, len(M))
             yield pd.DataFrame({"part": [TaskContext.get().partitionId() % parts], "m": [total.tobytes()]})
 
@@ -220,101 +228,124 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 
 
 class _Checks:
-    """Exact checks of a document against its candidate items, by sorted tables of the items' runs and words."""
+    """Exact checks of a document against its candidate items."""
 
     def __init__(self, items: Items):
         self.items = items
-        grams = [np.unique(np.concatenate([_grams(f) for f in fs])) for fs in items.fields]
-        flat = np.concatenate(grams)
-        order = np.argsort(flat, kind="stable")
-        self.gram, self.gram_item = flat[order], np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.fields = [(k, f.tolist(), len(set(f.tolist()))) for k, fs in enumerate(items.fields) for f in fs]
-        pairs = np.array([(w, n) for n, (_, f, _) in enumerate(self.fields) for w in set(f)], dtype=np.int64).reshape(-1, 2)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        self.word_field = pairs[:, 1]
-        self.word_at = np.searchsorted(pairs[:, 0], np.arange(len(items.vocabulary) + 1))
-        self.owner = np.array([k for k, _, _ in self.fields])
-        self.need = LCS * np.array([n for _, _, n in self.fields])
-
-    def verbatim(self, ids: np.ndarray) -> set[int]:
-        """Items that share a run with the document."""
+        self.grams = [np.unique(np.concatenate([_grams(f) for f in fs])) for fs in items.fields]
+        self.fields = [[(f.tolist(), *np.unique(f, return_counts=True)) for f in fs] for fs in items.fields]
+
+    def verbatim(self, ids: np.ndarray, candidates: np.ndarray) -> set[int]:
+        """Candidates that share a run with the document."""
         own = _grams(ids)
-        a, b = np.searchsorted(self.gram, own, "left"), np.searchsorted(self.gram, own, "right")
-        return {int(k) for i in np.flatnonzero(b > a) for k in self.gram_item[a[i] : b[i]]}
+        out = set()
+        for k in candidates.tolist() if len(own) else ():
+            at = np.searchsorted(own, self.grams[k])
+            if (own[np.minimum(at, len(own) - 1)] == self.grams[k]).any():
+                out.add(k)
+        return out
 
     def paraphrased(self, ids: np.ndarray, candidates: np.ndarray) -> set[int]:
         """Candidates of which enough words stand in the document in order, with half of the answer's numbers and names."""
         words = ids[ids >= 0]
-        present = np.unique(words)
-        held = np.bincount(np.concatenate([self.word_field[self.word_at[w] : self.word_at[w + 1]] for w in present]), minlength=len(self.fields))
-        likely = np.flatnonzero((held >= self.need) & np.isin(self.owner, candidates))
-        out, text, have = set(), None, None
-        for n in likely:
-            k, f, _ = self.fields[n]
-            if text is None:
-                text, have = words.tolist(), set(present.tolist())
+        have = np.bincount(words, minlength=len(self.items.vocabulary))
+        text, out = words.tolist(), set()
+        for k in candidates.tolist():
             key = self.items.key[k]
-            if lcs_length(f, text) >= LCS * len(f) and (not key or 2 * len(key & have) >= len(key)):
-                out.add(k)
+            if key and 2 * sum(bool(have[w]) for w in key) < len(key):
+                continue
+            for f, once, times in self.fields[k]:
+                if np.minimum(have[once], times).sum() >= LCS * len(f) and lcs_length(f, text) >= LCS * len(f):
+                    out.add(k)
+                    break
         return out
 
 
-def _leaks_of(tokens: DataFrame, items: Items, kind: str, rank: int, cosine: float) -> DataFrame:
-    v = len(items.vocabulary)
-    n = tokens.count()
-    df = np.zeros(v)
-    for r in tokens.select(F.explode(F.array_distinct("ids")).alias("w")).filter("w >= 0").groupBy("w").count().collect():  # bounded by the items' vocabulary
-        df[r["w"]] = r["count"]
-    idf = np.log(1 + (n + 1) / (df + 1))
-    X = basis(tokens, items, idf, rank)
-    M = (idf[:, None] * X).astype(np.float32)
+def _places(flat: np.ndarray, M: np.ndarray) -> np.ndarray:
+    """The unit vector of the ITEM_WINDOW words from each place on."""
+    V = np.zeros((len(flat) + ITEM_WINDOW - 1, M.shape[1]), dtype=np.float32)
+    known = np.flatnonzero(flat >= 0)
+    V[known] = M[flat[known]]
+    out = V[: len(flat)].copy()
+    for j in range(1, ITEM_WINDOW):
+        out += V[j : j + len(flat)]
+    return _unit(out)
+
+
+def best_places(flat: np.ndarray, block_owner: np.ndarray, docs: int, Q: np.ndarray, M: np.ndarray, coarse: float) -> np.ndarray:
+    """docs x item passages: the best cosine of a passage at any place of a document; 0 where no passage of the document reaches ``coarse``."""
+    P = _unit(_windows(_block_sums(flat, M), block_owner))
+    place = None
+    best = np.zeros(docs * len(Q), dtype=np.float32)
+    last = (np.searchsorted(block_owner, np.arange(docs), side="right") * BLOCK - ITEM_WINDOW)[block_owner]  # last start in the document
+    for a in range(0, len(P), 1024):
+        w, q = np.divmod(np.flatnonzero(P[a : a + 1024] @ Q.T >= coarse), len(Q))
+        if len(w) and place is None:
+            place = _places(flat, M)
+        # the document passages in turn, each with the item passages that are near it
+        w, first, count = np.unique(w + a, return_index=True, return_counts=True)
+        for x, f, n in zip(w.tolist(), first.tolist(), count.tolist()):
+            near = q[f : f + n]
+            s = (place[x * BLOCK : min(x * BLOCK + 2 * BLOCK - ITEM_WINDOW, last[x]) + 1] @ Q[near].T).max(0)
+            at = block_owner[x] * len(Q) + near
+            best[at] = np.maximum(best[at], s)
+    return best.reshape(docs, -1)
+
+
+def candidates(best: np.ndarray, items: Items, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(for verbatim leaks, for paraphrases): docs x items."""
+    item_at = np.searchsorted(items.owner, np.arange(len(items.ids)))
+    same = np.maximum.reduceat(best, item_at, axis=1) >= SAME
+    size = np.diff(np.r_[items.field_at, len(items.owner)])
+    share = np.add.reduceat((best >= cosine).astype(np.float32), items.field_at, axis=1) / size
+    return same, np.maximum.reduceat(share, np.searchsorted(items.owner[items.field_at], np.arange(len(items.ids))), axis=1) >= SHARE
+
+
+def _leaks_of(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray, kind: str, rank: int, coarse: float, cosine: float) -> DataFrame:
+    M = (idf[:, None] * basis(tokens, items, own, idf, rank)).astype(np.float32)
     Q = _unit(np.array([M[p].sum(axis=0) for p in items.passages], dtype=np.float32))
-    owner = items.owner
     checks = _Checks(items)
     ids_of = np.array(items.ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for docs, flat, first, block_owner in _chunks(batches, 20_000):
-            P = _unit(_windows(_block_sums(flat, M), block_owner))
-            best = np.zeros((len(docs), len(ids_of)), dtype=np.float32)
-            for a in range(0, len(P), 1024):
-                s = (Q @ P[a : a + 1024].T).ravel()
-                near = np.flatnonzero(s >= cosine)
-                q, w = np.divmod(near, min(1024, len(P) - a))
-                np.maximum.at(best, (block_owner[a + w], owner[q]), s[near])
+        for docs, flat, first, block_owner in _chunks(batches, own, 20_000):
+            best = best_places(flat, block_owner, len(docs), Q, M, coarse)
+            same, alike = candidates(best, items, cosine)
+            top = np.maximum.reduceat(best, np.searchsorted(items.owner, np.arange(len(ids_of))), axis=1)
             out = []
             ends = np.r_[first[1:], len(block_owner)] * BLOCK
-            for d in np.flatnonzero((best >= cosine).any(1)):
+            for d in np.flatnonzero((same | alike).any(1)):
                 ids = flat[first[d] * BLOCK : ends[d]]
-                candidates = np.flatnonzero(best[d] >= cosine)
-                exact = checks.verbatim(ids) & set(candidates.tolist())
-                loose = checks.paraphrased(ids, candidates) - exact
-                out += [(docs[d], ids_of[k], how, float(best[d, k])) for how, found in (("verbatim", exact), ("paraphrase", loose)) for k in sorted(found)]
+                exact = checks.verbatim(ids, np.flatnonzero(same[d]))
+                loose = checks.paraphrased(ids, np.array([k for k in np.flatnonzero(alike[d]) if k not in exact], dtype=np.int64))
+                out += [(docs[d], ids_of[k], how, float(top[d, k])) for how, found in (("verbatim", exact), ("paraphrase", loose)) for k in sorted(found)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "cosine"])
 
     return tokens.mapInPandas(run, f"doc_id {kind}, item_id bigint, kind string, cosine float")
 
 
-def leaks(docs: DataFrame, evals: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def leaks(docs: DataFrame, evals: DataFrame, rank: int = RANK, cosine: float = COSINE, coarse: float = COARSE) -> DataFrame:
     """(doc_id, item_id, kind, cosine) of every leak found."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = evals.select("item_id", "question", "answer").filter("item_id is not null").orderBy("item_id", "question", "answer").toLocalIterator()
-    out, block = None, []
-
-    def flush(block: list, out: DataFrame | None) -> DataFrame | None:
-        items = read_items(block)
-        if not items.ids:
-            return out
-        tokens = staged(numbered(docs, items.vocabulary), "numbered")
-        found = _leaks_of(tokens, items, kind, rank, cosine)
-        return found if out is None else out.unionAll(found)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == ITEMS:
-            out, block = flush(block, out), []
-    if block:
-        out = flush(block, out)
-    if out is None:
+    rows = evals.select("item_id", "question", "answer").filter("item_id is not null").orderBy("item_id", "question", "answer").collect()  # the held-out items
+    blocks = [b for a in range(0, len(rows), ITEMS) if (b := read_items(rows[a : a + ITEMS])).ids]
+    if not blocks:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id bigint, kind string, cosine float")
+    vocabulary: dict[str, int] = {}
+    for b in blocks:
+        for w in b.vocabulary:
+            vocabulary.setdefault(w, len(vocabulary))
+    tokens = staged(numbered(docs, vocabulary), "numbered")
+    n = tokens.count()
+    df = np.zeros(len(vocabulary))
+    for r in tokens.select(F.explode(F.array_distinct("ids")).alias("w")).filter("w >= 0").groupBy("w").count().collect():  # bounded by the items' vocabulary
+        df[r["w"]] = r["count"]
+    idf = np.log(1 + (n + 1) / (df + 1))
+    out = None
+    for b in blocks:
+        at = np.array([vocabulary[w] for w in b.vocabulary], dtype=np.int64)
+        own = np.full(len(vocabulary) + 1, -1, dtype=np.int32)
+        own[at] = np.arange(len(at))
+        found = _leaks_of(tokens, b, own, idf[at], kind, rank, coarse, cosine)
+        out = found if out is None else out.unionAll(found)
     return out

@@ -53,3 +53,38 @@ def test_paraphrase(spark):
 
 def test_lcs():
     assert k.lcs_length([1, 2, 3, 4], [2, 9, 4, 1]) == 2 and k.lcs_length([], [1]) == 0
+
+
+def rewritten(r, words, vocab, share):
+    out = []
+    for w in words:
+        x = r.random()
+        if x < share / 3:
+            continue
+        out += [r.choice(vocab)] if x < 2 * share / 3 else [w, r.choice(vocab)] if x < share else [w]
+    return out
+
+
+def test_paraphrases_against_all_pairs(spark):
+    """Candidates of the latent search against the longest common subsequence of every pair."""
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(1500)]
+    items = [(i, "", " ".join(r.choice(vocab) for _ in range(r.randint(20, 60)))) for i in range(30)]
+    docs = []
+    for d in range(300):
+        w = [r.choice(vocab) for _ in range(r.randint(20, 90))]
+        if d % 2:
+            w[r.randint(0, len(w)) :] = rewritten(r, r.choice(items)[2].split(), vocab, r.choice([0.2, 0.3, 0.4]))
+        docs.append((d, " ".join(w)))
+    got = {(x.doc_id, x.item_id) for x in k.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string, answer string")).collect()}
+    want = {(d, i) for d, t in docs for i, _, a in items if k.lcs_length(a.split(), t.split()) >= k.LCS * len(a.split())}
+    assert len(want) > 80 and got <= want | truth(items, docs)
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_short_answer_is_checked(spark):
+    item = "please state who signed the long agreement between the harbour office and the northern depot in spring"
+    df = spark.createDataFrame([(1, "x " + item.replace("long ", "very old ").replace("spring", "autumn") + " and it was Mira Holt"), (2, item.replace("long ", "very old ").replace("spring", "autumn"))], "doc_id long, text string")
+    ev = spark.createDataFrame([(5, item, "Mira Holt")], "item_id long, question string, answer string")
+    got = {(x.doc_id, x.kind) for x in k.leaks(df, ev).collect()}
+    assert got == {(1, "paraphrase")} or got == {(1, "verbatim"), (2, "verbatim")}
