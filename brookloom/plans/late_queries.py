@@ -9,15 +9,12 @@ from brookloom.streaming import late_events as late
 
 
 def p1_found(spark, sf_dir):
-    """Types and periods whose first figure (5 minutes after the end) and final figure (12 hours) differ.
-
-    The statement fixes the closing to five minutes by the log's own clock, so a silent source is idle at once (time-out 0).
-    """
-    return late.period_figures(table(spark, sf_dir, "event_log")).filter("first <> final").select("type", late.period_text().alias("period_start"))
+    """Types and periods whose first figure (each source up to its punctuation, 5 minutes after the end) and final figure (12 hours) differ."""
+    return late.source_figures(table(spark, sf_dir, "event_log")).filter("first <> final").select("type", late.period_text().alias("period_start"))
 
 
 def p1_figures(spark, sf_dir):
-    figures = late.period_figures(table(spark, sf_dir, "event_log"))
+    figures = late.source_figures(table(spark, sf_dir, "event_log"))
     return figures.select("type", late.period_text().alias("period_start"), "first", "final", "too_late")
 
 

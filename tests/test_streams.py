@@ -27,11 +27,27 @@ def test_periods_close_by_source(spark):
     assert max(r.closed_us - r.end_us for r in wide) == 900 * 1_000_000
 
 
+def test_each_source_up_to_its_own_punctuation(spark):
+    # a passes the end of the first period at minute 16; b, silent until minute 200, is idle by then, and what it brings is late
+    rows = [("a", "1", "t", 1, 2), ("b", "2", "t", 3, 15), ("a", "3", "t", 4, 16), ("b", "4", "t", 5, 200), ("a", "5", "t", 12, 24), (None, "6", "t", 2, 3)]
+    got = {(r.start_us // 60_000_000 - 28401120): (r.first, r.corrections, r.closed_us // 60_000_000 - 28401120) for r in late.source_figures(log_of(spark, rows), idle_timeout_s=1200).collect()}
+    assert got == {0: (3, 2, 35), 10: (1, 0, 45)}
+    # without punctuations nothing is late
+    still = late.punctuations
+    try:
+        late.punctuations = lambda *a: still(*a).limit(0)
+        assert [(r.first, r.corrections) for r in late.source_figures(log_of(spark, rows)).orderBy("start_us").collect()] == [(5, 0), (1, 0)]
+    finally:
+        late.punctuations = still
+
+
 def test_late_edges(spark):
     log = log_of(spark, [("a", "1", "t", 1, 2), (None, "1", "t", 1, 2), ("a", None, "t", 1, 2), ("a", None, "t", 1, 2)])
     nulls = log.unionByName(log.limit(1).withColumn("happened", F.lit(None).cast("timestamp_ntz")))
     r = late.period_figures(nulls).collect()
     assert len(r) == 1 and r[0].final == 4 and late.rejected(nulls).count() == 1
+    r = late.source_figures(nulls).collect()
+    assert len(r) == 1 and r[0].final == 4 and late.source_figures(log.limit(0)).count() == 0
     assert late.period_figures(log.limit(0)).count() == 0 and late.diverted(log.limit(0)).count() == 0
 
 
