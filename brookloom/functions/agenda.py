@@ -65,15 +65,19 @@ def _falls_on(rule: dict, day: date) -> bool:
     return True
 
 
-def runs(rule: dict, after: datetime, zone: str, most: int = 1) -> list[datetime]:
-    """The next instants strictly after ``after``; none for a rule with problems or beyond the horizon."""
+def runs(rule: dict, after: datetime, zone: str, most: int | None = 1, until: datetime | None = None) -> list[datetime]:
+    """The next instants strictly after ``after``, at most ``most`` of them; none for a rule with problems, beyond ``until`` or, without that, beyond
+    the horizon."""
     if problems(rule):
         return []
+    days = HORIZON_DAYS + 2 if until is None else max(0, (until - after).days) + 4
     hh, mm = map(int, rule["at"].split(":"))
     day, out = after.astimezone(ZoneInfo(zone)).date() - timedelta(days=1), []
-    for _ in range(HORIZON_DAYS + 2):
+    for _ in range(days):
         if _falls_on(rule, day):
             t = instant_of(datetime(day.year, day.month, day.day, hh, mm), zone)
+            if until is not None and t > until:
+                break
             if t > after:
                 out.append(t)
                 if len(out) == most:
@@ -82,8 +86,8 @@ def runs(rule: dict, after: datetime, zone: str, most: int = 1) -> list[datetime
     return out
 
 
-def upcoming(rules: DataFrame, after: datetime, until: datetime, most: int = 50) -> DataFrame:
-    """(id, at) of the occurrences of rules (id, every, at_time, days, day, on, zone) in (after, until]."""
+def upcoming(rules: DataFrame, after: datetime, until: datetime) -> DataFrame:
+    """(id, at) of all occurrences of rules (id, every, at_time, days, day, on, zone) in (after, until]."""
     after, until = (t.replace(tzinfo=UTC) if t.tzinfo is None else t for t in (after, until))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,7 +96,7 @@ def upcoming(rules: DataFrame, after: datetime, until: datetime, most: int = 50)
             for r in b.to_dict("records"):
                 day = r["day"]
                 rule = {"every": r["every"], "at": r["at_time"], "days": None if r["days"] is None else [int(x) for x in r["days"]], "day": "last" if day == "last" else int(day) if day else None, "on": r["on"]}
-                out += [(r["id"], t.replace(tzinfo=None)) for t in runs(rule, after, r["zone"], most) if t <= until]
+                out += [(r["id"], t.replace(tzinfo=None)) for t in runs(rule, after, r["zone"], None, until)]
             yield pd.DataFrame(out, columns=["id", "at"]).astype({"at": "datetime64[us]"})
 
     return rules.mapInPandas(run, f"id {rules.schema['id'].dataType.simpleString()}, at timestamp_ntz")

@@ -77,8 +77,16 @@ def body_schema(spark, sf_dir):
     return structured.schema_findings(log, "seq", "body", schema).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ZONES = """r AS (SELECT n_nationkey AS id, ['daily', 'weekly', 'monthly'][n_nationkey % 3 + 1] AS every, n_nationkey % 7 + 1 AS day, n_nationkey % 2 = 0 AS last FROM nation),
+d AS (SELECT unnest(generate_series(DATE '2026-02-27', DATE '2026-05-02', INTERVAL 1 DAY))::DATE AS d),
+o AS (SELECT id, last, d FROM r, d WHERE CASE every WHEN 'daily' THEN true WHEN 'weekly' THEN isodow(d) = day ELSE day(d) = day(last_day(d)) END)"""
+
 QUERIES = {f.__name__: f for f in (fact_kinds, iso_dates, fact_lookup, verdict_counts, recurrence_next, calculator, body_schema)}
 SQL = {
-    "calculator": "SELECT l_orderkey % 100 AS part, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS total FROM lineitem WHERE l_linenumber = 1 GROUP BY 1",
+    # 02:30 is skipped on 29 March in Berlin and on 8 March in New York: then the first instant after the jump, 01:00 and 07:00 UTC
+    "recurrence_next": f"""WITH {_ZONES}, t AS (SELECT id, d + CASE WHEN last THEN CASE WHEN d = DATE '2026-03-29' THEN INTERVAL 60 MINUTE WHEN d > DATE '2026-03-29' THEN INTERVAL 30 MINUTE ELSE INTERVAL 90 MINUTE END
+ ELSE CASE WHEN d = DATE '2026-03-08' THEN INTERVAL 420 MINUTE WHEN d > DATE '2026-03-08' THEN INTERVAL 390 MINUTE ELSE INTERVAL 450 MINUTE END END AS happens FROM o)
+SELECT id, happens AS "at" FROM t WHERE happens > TIMESTAMP '2026-03-01' AND happens <= TIMESTAMP '2026-04-30'""",
+    "calculator": "SELECT l_orderkey % 100 AS part, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS total FROM lineitem GROUP BY 1",
     "iso_dates": "SELECT item_id, 'd:' || unnest(regexp_extract_all(regexp_replace(answer, '[“„«][^“”„«»\\n]{3,200}?[”“»]', ' ', 'g'), '\\b\\d{4}-\\d{2}-\\d{2}\\b')) AS key FROM eval_items",
 }

@@ -50,13 +50,18 @@ def stale_gaps(spark, sf_dir):
     return e.silences(_events(spark, sf_dir), ["user_id"], "ts", 86_400)
 
 
+def _dense(spark, sf_dir):
+    """The events with their days folded into one and an hour's stretch into a minute, dense enough for windows of 60 seconds to fill."""
+    return _events(spark, sf_dir).select("event_id", "event_type", F.timestamp_micros(F.expr("unix_micros(ts) % 86400000000 div 60")).alias("ts"))
+
+
 def error_rate_60s(spark, sf_dir):
-    r = e.error_rates(_events(spark, sf_dir).select("event_id", "ts", "event_type"), "ts", F.col("event_type") == "error", window_s=3600, least=10)
+    r = e.error_rates(_dense(spark, sf_dir), "ts", F.col("event_type") == "error", window_s=60, least=20)
     return r.select("event_id", F.col("events"), F.col("failures").cast("bigint").alias("failures"), F.round("rate", 6).alias("rate"))
 
 
 def breaker_level(spark, sf_dir):
-    r = e.error_rates(_events(spark, sf_dir).select("event_id", "ts", "event_type"), "ts", F.col("event_type") == "error", window_s=3600, least=10)
+    r = e.error_rates(_dense(spark, sf_dir), "ts", F.col("event_type") == "error", window_s=60, least=20)
     return e.breaker_levels(r, "ts").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "level", "held")
 
 
@@ -172,8 +177,8 @@ _M = "m AS (SELECT session_id, id, min(created_at) AS created_at, arg_min(role,
 _SAMPLES = """j AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS b FROM event_log WHERE type = 'feed.sample' AND "class" = 'public'),
 s AS (SELECT seq, source, json_extract_string(b, '$.series') AS series, json_extract_string(b, '$.value')::DOUBLE AS value, json_extract_string(b, '$.unit') AS unit, coalesce(json_extract_string(b, '$.quality'), 'good') AS quality, happened FROM j
  WHERE json_extract_string(b, '$.series') IS NOT NULL AND json_extract_string(b, '$.value') IS NOT NULL)"""
-_RATES = f"""{_E}, r AS (SELECT event_id, ts, count(*) OVER w AS events, count(*) FILTER (WHERE event_type = 'error') OVER w AS failures FROM e
-  WINDOW w AS (ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)), q AS (SELECT *, CASE WHEN events >= 10 THEN failures / events END AS rate FROM r)"""
+_RATES = f"""e AS (SELECT event_id, event_type, epoch_us(ts) % 86400000000 // 60 AS us, make_timestamp(epoch_us(ts) % 86400000000 // 60) AS ts FROM events), r AS (SELECT event_id, ts, count(*) OVER w AS events, count(*) FILTER (WHERE event_type = 'error') OVER w AS failures FROM e
+  WINDOW w AS (ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)), q AS (SELECT *, CASE WHEN events >= 20 THEN failures / events END AS rate FROM r)"""
 
 QUERIES = {f.__name__: f for f in (dedup_events, append_new, latest_per_series, sample_problems, state_changes, stale_gaps, error_rate_60s, breaker_level, throttle, rate_limit, seq_gaps, event_log_scan, class_ceiling, topic_filter, row_hashes, median_rate, history_rows, keep_newest_n, row_number_rank, json_pick, json_paths, sibling_nav, first_user_turn, conversation_groups, owner_sessions)}
 SQL = {

@@ -63,10 +63,10 @@ def silences(rows: DataFrame, keys: list[str], at: str, longer_s: int) -> DataFr
 
 
 def error_rates(rows: DataFrame, at: str, bad: Column, window_s: int = 60, least: int = 20, bucket: str = "bucket") -> DataFrame:
-    """Share of bad rows in the ``window_s`` before each row, null below ``least`` rows. Rows are taken in hour buckets, each
-    with the tail of the bucket before, so no single task sees the whole log."""
+    """Share of bad rows in the ``window_s`` before each row, null below ``least`` rows. Rows are taken in buckets of an hour or of the window
+    if that is longer, each with the tail of the bucket before, so no single task sees the whole log."""
     us = micros(at)
-    hour = 3_600_000_000
+    hour = max(3600, window_s) * 1_000_000
     own = rows.withColumn("_us", us).withColumn("_bad", bad.cast("int")).withColumn(bucket, F.expr(f"_us div {hour}"))
     tail = own.filter(F.col("_us") % hour >= hour - window_s * 1_000_000).withColumn(bucket, F.col(bucket) + 1).withColumn("_tail", F.lit(True))
     both = own.withColumn("_tail", F.lit(False)).unionByName(tail)
