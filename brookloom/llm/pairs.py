@@ -1,11 +1,14 @@
 """Broken prompt and response pairs.
 
 Method: the answer is cut into clauses (sentences, list items, blocks). A linear-chain conditional random field tags each clause as
-answer, refusal, echo, foreign or unfinished from features of the clause, its question and its place. The share of words that each
-tag covers then decides on the pair's one defect. An answer without letter or digit is ``empty`` and has no clauses.
+answer, refusal, echo, foreign or unfinished. Its features are the clause's form and place, its likeness to the question, the classes of
+its words (CLASSES, alone and together), the share of words that belong to no class, and its words, word pairs and word beginnings,
+hashed. No phrase decides: all weights are learned. The share of words that each tag covers then decides on the pair's one defect.
+An answer without letter or digit is ``empty`` and has no clauses.
 
-The field is trained here, from example pairs that this module composes of its own sentences (``training_pairs``): their number is the
-parameter EXAMPLES. No row of the data is used for training, so results don't depend on the data's size or order.
+The field is trained from a bounded sample of labelled pairs that this module composes (``training_pairs``, EXAMPLES of them): refusals from
+a grammar of their parts, answers from sentences of its own. No row of the data is used for training, so results don't depend on the
+data's size or order. Sentences that the grammar doesn't make are held out in the tests.
 
 Defined cases: null content is a blank message; a user message without letter or digit opens no pair; repeated rows of an id count
 once, at the earliest created_at; a session of any length is paired by ranges, never in one task; rows without session_id are left
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +34,9 @@ from brookloom.session import staged
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-EXAMPLES = 1500
+EXAMPLES = 6000
+#: Hashed word features.
+HASHED = 1 << 13
 
 #: Frequent words of each language that are rare in the others.
 COMMON = {
@@ -59,19 +65,27 @@ NAMED = {
 }
 _ASKS = re.compile(r"\b(?:answer|reply|respond|write|need|antworte\w*|schreib\w*|antwort|répond\w*|répons\w*|écri\w+|contest\w+|respond\w+|respuesta|escrib\w+|in|auf|en)\b", re.I)
 
-REFUSES = re.compile(
-    r"""\b(?:can(?:'|’)?t|cannot|can\ not|won(?:'|’)t|unable\ to|not\ (?:allowed|able|permitted|authori[sz]ed)\ to|will\ not|rather\ not)\ (?:be\ )?(?:help|assist|answer|provid|discuss|giv|shar|comment|talk|respond|go\ into)
-    |must\ decline|have\ to\ decline|decline\ (?:this|to)|off\ limits|outside\ what\ i|beyond\ what\ i|not\ something\ i\ can|stay\ away\ from|better\ not\ to\ (?:go|talk|discuss|answer)|no\ answer\ (?:to\ this\ )?will|a\ matter\ for\ a\ human
-    |(?:darf|kann|möchte|werde|will)\ (?:ich\ )?(?:\w+\ )?(?:lieber\ )?nicht\ (?:beantworten|helfen|äußern|sagen|weiterhelfen|antworten|eingehen)|muss\ (?:ich\ )?(?:\w+\ )?ablehnen|lieber\ still|nicht\ zu\ meinen\ aufgaben|gehört\ nicht\ zu\ meinen|beantwortet\ dieser\ \w+\ nicht|sollte\ ein\ mensch|lehne\ ich\ ab
-    |(?:peux|puis|pourrai)\ pas\ (?:vous\ )?(?:aider|répondre|fournir)|pas\ autorisée?\ à|dois\ (?:décliner|refuser)|préfère\ ne\ pas|dépasse\ mon|mieux\ vaut\ en\ parler|refuse\ de\ répondre
-    |no\ puedo\ (?:ayudar|responder|contestar|dar)|no\ se\ me\ permite|debo\ (?:rechazar|declinar)|prefiero\ no|fuera\ de\ mi\ |es\ mejor\ tratarlo|me\ niego""",
-    re.I | re.X,
-)
-REGRETS = re.compile(r"\b(?:sorry|unfortunately|as an assistant|thank you for asking|leider|tut mir leid|danke für die frage|je suis désolée?|malheureusement|merci de votre question|lo siento|por desgracia|gracias por preguntar)\b", re.I)
-COURTESY = re.compile(
-    r"\b(?:hope you understand|anything else|another topic|ask a person|instead\.|sonst noch|bitte wenden|contact(?:er|ez|e) (?:la|a la|una?|le)|consulte a|responsable, por favor|ask someone|fragen sie bitte|verständnis|anderes thema|autre chose|autre sujet|adressez-vous à une personne|merci de votre compréhension|algo más|otro tema|otra cosa|diríjase|dirigirse|comprensión)", re.I
-)
-NOTHING_FOUND = re.compile(r"\b(?:sources?|excerpts?|files?|documents?|quellen?|auszüge|dokumente?|extraits|documents|fuentes?|extractos|documentos?)\b", re.I)
+#: Words by their part in speaking about the exchange itself, in four languages.
+CLASSES = {
+    "self": "i me my myself we our us ich mir mich mein meine meinen meiner meinem meinerseits wir uns unser je j moi mon ma mes nous notre m yo me mí mi mis conmigo nos puedo debo prefiero quiero voy niego rechazo lamento siento podré abstengo pienso deseo",
+    "able": "can could able allowed permitted may authorised authorized position unable cannot let lets would will kann könnte darf dürfen dürfte möchte mag werde imstande lage befugt erlaubt muss peux puis pourrai pourrais peut autorisé autorisée permis mesure habilité habilitée dois souhaite veux puedo podré podría puede permite permiten permitido autorizado autorizada condiciones debo deseo",
+    "not": "not t cannot no never nothing neither nor unable none without nicht kein keine keinen keiner keinerlei nie niemals nichts ne pas n rien jamais aucun aucune no ni nunca nada ningún ninguna tampoco sin",
+    "act": "help assist assistance answer answers answering reply respond response discuss discussing say comment speak talk tell share provide give address explain disclose support offer helfen weiterhelfen hilfe beantworten beantwortet beantworte antworten antwort äußern sagen reden sprechen auskunft eingehen mitteilen besprechen geben stellung nehmen erörtern aider aide répondre réponse réponds dire parler aborder discuter fournir donner commenter prononcer évoquer traiter renseigner ayudar ayuda responder contestar respuesta decir hablar comentar tratar dar facilitar opinar abordar pronunciarme informar",
+    "decline": "decline declining declined refuse refusing reject pass limits rather prefer abstain withhold stay avoid silent skip drop away ablehnen lehne ablehne verweigern verweigere lieber still schweigen schweige verzichte passen enthalten enthalte aussparen décliner refuser refuse décline préfère préférerais abstiens abstenir taire silence tairai éviter rechazar rechazo declinar declino niego negar prefiero preferiría abstengo abstenerme callar callo evitar",
+    "asked": "this that it question questions request requests topic topics subject matter matters such kind sort point das dies diese dieser diesem dazu dabei hierzu hierauf darauf darüber hierüber davon daran frage fragen anfrage anfragen thema themen solche solchen punkt cette ce cela ça ceci demande demandes question questions sujet sujets genre point là y esta este estas estos eso esto ello pregunta preguntas petición solicitud asunto asuntos tema temas tipo",
+    "role": "role scope remit human humans person people colleague someone somebody assistant purpose tasks duties bounds outside beyond rules side aufgaben aufgabe mensch menschen person zuständigkeit rolle assistent assistenten kollege kollegin rahmen regeln außerhalb seite bereich rôle humain personne quelqu collègue assistant assistante cadre limites domaine compétence dépasse règles part cometido persona humana humano colega alguien asistente fuera alcance límites normas función papel parte ámbito",
+    "regret": "sorry unfortunately afraid regret regrettably apologies apologise thank thanks leider tut leid bedaure bedauere bedauerlicherweise danke entschuldigung désolé désolée malheureusement regrette regrettablement merci navré navrée excuses siento lamento desgracia desgraciadamente lamentablemente gracias perdón disculpe disculpas",
+    "you": "you your yours sie ihnen ihr ihre dir dich du vous te votre vos usted ustedes le les te su",
+    "offer": "else another instead perhaps please contact understand understanding hope mind anything sonst noch bitte wenden verständnis anderes stelle vielleicht autre veuillez contacter adressez compréhension chose souhaitez peut être plutôt algo más otro otra consulte diríjase comprensión favor quizá tal vez",
+    "source": "sources source excerpt excerpts file files document documents record records list quelle quellen auszug auszüge dokument dokumente unterlagen datei dateien extrait extraits fichier fichiers fuente fuentes extracto extractos documento documentos archivo archivos",
+}
+_CLASS: dict[str, int] = {}
+for _k, (_c, _ws) in enumerate(CLASSES.items()):
+    for _w in _ws.split():
+        _CLASS[_w] = _CLASS.get(_w, 0) | 1 << _k
+_BIT = {c: 1 << k for k, c in enumerate(CLASSES)}
+#: Classes that mean more together.
+TOGETHER = (("self", "not", "act"), ("self", "not", "able"), ("not", "act", "asked"), ("not", "able", "act"), ("decline", "self"), ("decline", "asked"), ("decline", "act"), ("role", "asked"), ("role", "self"), ("not", "act", "role"), ("regret", "not"), ("source", "not"))
 
 _QUOTED = re.compile(r"«(?:[^«»\n]|«[^«»\n]*»)*»|“(?:[^“”\n]|“[^“”\n]*”)*”|„[^“”\n]*[“”]|\"[^\"\n]*\"")
 _JOINED = chr(0x2060)  # stands for a blank inside a quotation: it ends no sentence there and no cue is read across it
@@ -151,14 +165,32 @@ def bare_value(words: list[str], text: str) -> bool:
     return all(w[0].isupper() or w[0].isdigit() or w.lower() in _LIGHT or w.lower() in _MONTHS or w.lower() in ("km", "kg", "h", "min") for w in raw) and raw[-1].lower() not in _LIGHT - {"chf", "eur", "usd"}
 
 
-FEATURES = (
-    "bias refuses regrets courtesy nothing_found courtesy_after echo quoted_question lead foreign foreign_clear own_language last open_end open_block open_label weak_end "
-    "bare_value_alone item_odd only_mark inside_quote"
-).split()
+FEATURES = [
+    *"bias courtesy_after echo echo_last quoted_question lead foreign foreign_clear foreign_only all_foreign own_language last open_end open_block open_label weak_end bare_value_alone item_odd only_mark inside_quote".split(),
+    *CLASSES, *("+".join(x) for x in TOGETHER), *"digit plain mostly_plain strange many_strange named alone".split(),
+]
+_AT = {f: k for k, f in enumerate(FEATURES)}
+_MASKS = [sum(_BIT[c] for c in x) for x in TOGETHER]
+
+
+@lru_cache(maxsize=1 << 16)
+def _hashes(w: str) -> tuple[int, int]:
+    """Places of a word and of its beginning among the hashed features, the same in every process."""
+    return zlib.crc32(w.encode()) % HASHED, zlib.crc32(b"^" + w[:5].encode()) % HASHED
+
+
+def _lexical(w: list[str]) -> np.ndarray:
+    """Hashed features of a clause: words, their beginnings, neighbouring words; of words that belong to no class or language only the beginning."""
+    out: set[int] = set()
+    for x in w:
+        h = _hashes(x)
+        out.update(h if x in _CLASS or x in _LANG else h[1:])
+    out.update(zlib.crc32(f"{x} {y}".encode()) % HASHED for x, y in zip(w, w[1:]) if x in _CLASS and y in _CLASS)
+    return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
-def features(question: str, answer: str) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features and the number of words for each clause."""
+def features(question: str, answer: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """A row of features, the hashed features and the number of words of each clause."""
     parts = clauses(answer)
     q = words_of(question)
     qset = set(q)
@@ -168,23 +200,38 @@ def features(question: str, answer: str) -> tuple[np.ndarray, np.ndarray]:
     open_label = tail.rfind("[") > tail.rfind("]")
     X = np.zeros((len(parts), len(FEATURES)))
     size = np.zeros(len(parts))
+    lexical = []
     refused = False
     items = [t for k, t in parts if k == "item"]
+    whole = votes(words_of(_QUOTED.sub(" ", " ".join(t for k, t in parts if k not in ("block", "quote")))))
+    all_foreign = own is not None and max([n for x, n in whole.items() if x not in allowed], default=0) >= 2 * max([whole.get(x, 0) for x in allowed], default=0) + 1
     for i, (kind, text) in enumerate(parts):
-        f = dict.fromkeys(FEATURES, 0.0)
-        w = words_of(text)
+        f: dict[str, float] = {"bias": 1}
+        raw = ALNUM.findall(text)
+        w = [x.lower() for x in raw]
         size[i] = len(w)
-        f["bias"] = 1
         last = i == len(parts) - 1
+        lexical.append(_lexical(w) if kind not in ("block", "quote") else np.zeros(0, dtype=np.int64))
         if kind != "block":
             plain = "" if kind == "quote" else _QUOTED.sub(" ", text)
-            f["inside_quote"] = len(words_of(plain)) < 0.3 * len(w)
-            f["refuses"] = bool(REFUSES.search(text))
-            f["regrets"] = bool(REGRETS.search(text))
-            f["courtesy"] = bool(COURTESY.search(text))
-            f["courtesy_after"] = f["courtesy"] and refused
-            f["nothing_found"] = bool(NOTHING_FOUND.search(text)) and not f["refuses"]
-            refused |= bool(f["refuses"])
+            said_here = words_of(plain)
+            f["inside_quote"] = len(said_here) < 0.3 * len(w)
+            held = 0
+            for x in said_here:
+                held |= _CLASS.get(x, 0)
+            for c, bit in _BIT.items():
+                f[c] = bool(held & bit)
+            for x, m in zip(TOGETHER, _MASKS):
+                f["+".join(x)] = held & m == m
+            strange = [x for x in raw if x.lower() not in _CLASS and x.lower() not in _LANG]
+            f["digit"] = any(c.isdigit() for c in text)
+            f["plain"] = bool(w) and len(strange) <= 0.1 * len(w)
+            f["mostly_plain"] = bool(w) and len(strange) <= 0.3 * len(w)
+            f["strange"], f["many_strange"] = len(strange) >= 2, len(strange) >= 4
+            f["named"] = any(x[0].isupper() for x in raw[1:] if x.lower() not in _CLASS and x.lower() not in _LANG)
+            f["alone"] = len(parts) == 1
+            f["courtesy_after"] = bool(held & _BIT["offer"]) and refused
+            refused |= bool(f["plain"] and held & (_BIT["decline"] | _BIT["not"] | _BIT["role"]))
             if w and q:
                 head, colon, rest = text.partition(":")
                 said = words_of(rest) if colon and 0 < len(words_of(head)) <= 5 and words_of(rest) else w  # after a short lead-in
@@ -194,12 +241,15 @@ def features(question: str, answer: str) -> tuple[np.ndarray, np.ndarray]:
                 f["echo"] = named or inside >= 0.95 and (len(set(said) & qset) >= 0.6 * len(qset) or (len(w) >= 3 and joined in asked and not bare_value(w, text)))
                 f["quoted_question"] = not f["echo"] and len(q) >= 4 and asked in joined
             f["lead"] = text.endswith(":") and len(w) <= 5 and not last
-            v = votes(words_of(plain))
+            v = votes(said_here)
             good, bad = max([v.get(x, 0) for x in allowed], default=0), max([n for x, n in v.items() if x not in allowed], default=0)
             f["own_language"] = good > bad
             f["foreign"] = own is not None and bad > good
             f["foreign_clear"] = own is not None and bad >= good + 2
+            f["foreign_only"] = own is not None and bad >= 1.5 and not good
+            f["all_foreign"] = all_foreign
         f["last"] = last
+        f["echo_last"] = last and bool(f.get("echo"))
         if last:
             f["open_block"] = fences % 2
             f["open_label"] = open_label
@@ -213,8 +263,9 @@ def features(question: str, answer: str) -> tuple[np.ndarray, np.ndarray]:
                 commas = [t.count(",") for t in items[:-1]]
                 f["item_odd"] = not _ENDS.search(bare) and bool(commas) and text.count(",") < min(commas)
             f["weak_end"] = kind != "block" and (bool(bare) and (bare[-1] in ",:;&-–(" or (not _ENDS.search(bare) and bool(w) and w[-1] in _LANG and w[-1] not in _MONTHS)))
-        X[i] = [f[k] for k in FEATURES]
-    return X, size
+        for k, x in f.items():
+            X[i, _AT[k]] = x
+    return X, lexical, size
 
 
 # --- the field --------------------------------------------------------------------------------------------------------------------
@@ -225,9 +276,12 @@ def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _gradient(X: np.ndarray, y: np.ndarray, W: np.ndarray, T: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the log-likelihood of one sequence, by the forward-backward algorithm."""
-    E = X @ W
+def _scores(X: np.ndarray, lexical: list[np.ndarray], W: np.ndarray, H: np.ndarray) -> np.ndarray:
+    return X @ W + np.array([H[x].sum(0) for x in lexical])
+
+
+def _gradient(E: np.ndarray, y: np.ndarray, T: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of one sequence by its scores and transitions, by the forward-backward algorithm."""
     n, k = E.shape
     A, B = np.zeros((n, k)), np.zeros((n, k))
     A[0] = E[0]
@@ -238,40 +292,51 @@ def _gradient(X: np.ndarray, y: np.ndarray, W: np.ndarray, T: np.ndarray) -> tup
     z = _logsumexp(A[-1], 0)
     gold = np.zeros((n, k))
     gold[np.arange(n), y] = 1
-    gW = X.T @ (gold - np.exp(A + B - z))
+    gE = gold - np.exp(A + B - z)
     gT = np.zeros((k, k))
     for t in range(n - 1):
         gT[y[t], y[t + 1]] += 1
         gT -= np.exp(A[t][:, None] + T + (E[t + 1] + B[t + 1])[None, :] - z)
-    return gW, gT
+    return gE, gT
+
 
+#: Which tags words speak for; an echo and a broken end are matters of form.
+_WORDED = np.array([1.0, 1.0, 0.0, 1.0, 0.0])
+Weights = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def fit(pairs: list[tuple[str, str, list[int]]], rounds: int = 12, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions by stochastic gradient ascent with adaptive steps."""
+
+def fit(pairs: list[tuple[str, str, list[int]]], rounds: int = 5, rate: float = 0.2, decay: float = 1e-4, seed: int = 3, without: tuple[str, ...] = ()) -> Weights:
+    """Weights, hashed weights and transitions by stochastic gradient ascent with adaptive steps. The hashed ones move half as fast, so classes
+    carry what they can. ``without``: features left out, for ablations ("hashed" for all hashed ones)."""
+    off = [_AT[f] for f in without if f in _AT]
     data = []
     for q, a, y in pairs:
-        X, _ = features(q, a)
+        X, lexical, _ = features(q, a)
+        X[:, off] = 0
         if len(X) == len(y) and len(y):
-            data.append((X, np.array(y)))
-    W, T = np.zeros((len(FEATURES), len(TAGS))), np.zeros((len(TAGS), len(TAGS)))
-    sW, sT = np.full_like(W, 1e-6), np.full_like(T, 1e-6)
+            data.append((X, lexical, np.array(y)))
+    W, H, T = np.zeros((len(FEATURES), len(TAGS))), np.zeros((HASHED, len(TAGS))), np.zeros((len(TAGS), len(TAGS)))
+    sW, sH, sT = np.full_like(W, 1e-6), np.full_like(H, 1e-2), np.full_like(T, 1e-6)
     r = random.Random(seed)
     for _ in range(rounds):
         r.shuffle(data)
-        for X, y in data:
-            gW, gT = _gradient(X, y, W, T)
-            gW -= decay * W
+        for X, lexical, y in data:
+            gE, gT = _gradient(_scores(X, lexical, W, H), y, T)
+            gW = X.T @ gE - decay * W
             gT -= decay * T
             sW += gW**2
             sT += gT**2
             W += rate * gW / np.sqrt(sW)
             T += rate * gT / np.sqrt(sT)
-    return W, T
+            if "hashed" not in without:
+                for x, g in zip(lexical, gE):
+                    sH[x] += (g * _WORDED) ** 2
+                    H[x] += 0.5 * rate * g * _WORDED / np.sqrt(sH[x]) - decay * H[x]
+    return W, H, T
 
 
-def decode(X: np.ndarray, W: np.ndarray, T: np.ndarray) -> list[int]:
-    """The best tags (Viterbi)."""
-    E = X @ W
+def decode(E: np.ndarray, T: np.ndarray) -> list[int]:
+    """The best tags by scores and transitions (Viterbi)."""
     best, back = E[0], []
     for e in E[1:]:
         s = best[:, None] + T
@@ -283,41 +348,87 @@ def decode(X: np.ndarray, W: np.ndarray, T: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-#: Sentences for training: questions, answers, refusals, courtesy, regret without refusal, lead-ins, language requests.
+#: Sentences for training: questions, answers, courtesy, lead-ins, bare values.
 SEED = {
     "en": {
-        "q": ["Who runs the north depot?", "When will the new archive be opened in Tarno?", "How much does the ferry ticket cost?", "Why was the meeting with Orlan Ltd moved?", "Can you name the main risks of Project Selka?"],
+        "q": ["Who should I ask about the archive?", "How do I request a new form from finance?", "Can you help me with the plan of Tarno?", "What happened to the job list?", "Which risks does the file plan.md name?", "Who runs the north depot?", "When will the new archive be opened in Tarno?", "How much does the ferry ticket cost?", "Why was the meeting with Orlan Ltd moved?", "Can you name the main risks of Project Selka?"],
         "a": ["The depot is run by Mira Holt since 2019.", "The ticket costs 14.50 EUR in total.", "It was moved because the hall was closed.", "None of the 12 sources names a date for this.", "Staff in Tarno may use the hall for up to 40 hours per week.", "I can't see the newest list, but the last file is clear.", "Sorry for the late reply.", "Unfortunately the plan changed once.", "Version 3.2 of the form adds a second page and removes 4 old fields."],
-        "r": ["I'm sorry, but I can't help with that.", "I must decline this request.", "Unfortunately I am unable to answer this question.", "As an assistant, I am not allowed to discuss this.", "This is off limits for me.", "It would be better not to go into this at this time."],
         "c": ["Is there anything else I can do?", "Please ask a person in charge instead.", "Perhaps we can pick another topic."],
         "l": ["You asked:", "Your question:", "So the question is:"],
         "v": ["14 May 2024", "12,300 EUR", "Mira Holt", "2024-05-14"],
     },
     "de": {
-        "q": ["Wer leitet das Lager im Norden?", "Wann wird das neue Archiv in Tarno eröffnet?", "Wie viel kostet die Fahrkarte für die Fähre?", "Warum wurde das Treffen mit Orlan GmbH verlegt?", "Welche Risiken hat Projekt Selka?"],
+        "q": ["Wen soll ich zum Archiv fragen?", "Wie beantrage ich ein neues Formular?", "Kannst du mir bei Projekt Selka helfen?", "Was ist mit der Liste in Tarno passiert?", "Was ist der Termin von Vorhaben Selka?", "Wer leitet das Lager im Norden?", "Wann wird das neue Archiv in Tarno eröffnet?", "Wie viel kostet die Fahrkarte für die Fähre?", "Warum wurde das Treffen mit Orlan GmbH verlegt?", "Welche Risiken hat Projekt Selka?"],
         "a": ["Das Lager wird seit 2019 von Mira Holt geleitet.", "Die Karte kostet insgesamt 14,50 EUR.", "Es wurde verlegt, weil der Saal geschlossen war.", "Keine der 12 Quellen nennt dazu ein Datum.", "In Tarno öffnet der Saal um 08:30 Uhr, freitags um 10:00 Uhr.", "Die Liste kann ich nicht öffnen, der Text sagt aber genug.", "Leider wurde der Plan einmal geändert.", "Version 3.2 des Formulars ergänzt eine Seite und ersetzt 4 alte Felder."],
-        "r": ["Tut mir leid, dabei kann ich nicht helfen.", "Diese Anfrage muss ich ablehnen.", "Leider darf ich das nicht beantworten.", "Dazu möchte ich mich nicht äußern.", "Das gehört nicht zu meinen Aufgaben.", "Das sollte ein Mensch klären, ich bitte um Verständnis."],
         "c": ["Kann ich sonst noch etwas tun?", "Bitte wenden Sie sich an eine zuständige Person.", "Vielleicht ein anderes Thema?"],
         "l": ["Deine Frage:", "Du fragst:", "Die Frage lautet:"],
         "v": ["14. Mai 2024", "12.300 EUR", "Mira Holt", "14.05.2024"],
     },
     "fr": {
-        "q": ["Qui dirige le dépôt du nord ?", "Quand les archives de Tarno seront-elles ouvertes ?", "Combien coûte le billet du ferry ?", "Pourquoi la réunion avec Orlan SA a-t-elle été déplacée ?", "Quels sont les risques de Projet Selka ?"],
-        "a": ["Le dépôt est dirigé par Mira Holt depuis 2019.", "Le billet coûte 14,50 EUR au total.", "Elle a été déplacée, car la salle était fermée.", "Aucune des 12 sources ne donne de date.", "À Tarno, la salle ouvre à 08:30, le vendredi à 10:00.", "Malheureusement, le plan a changé une fois.", "Désolé pour ce retard.", "La version 3.2 du formulaire ajoute une page et retire 4 anciens champs."],
-        "r": ["Je suis désolé, mais je ne peux pas vous aider.", "Je dois décliner cette demande.", "Malheureusement, je ne suis pas autorisé à répondre.", "Je préfère ne pas en parler.", "Cela dépasse mon rôle."],
+        "q": ["À qui dois-je m'adresser pour les archives ?", "Comment puis-je demander un nouveau formulaire ?", "Pouvez-vous m'aider pour Projet Selka ?", "Que s'est-il passé avec la liste de Tarno ?", "Pour quelle date le plan doit-il être prêt ?", "Qui dirige le dépôt du nord ?", "Quand les archives de Tarno seront-elles ouvertes ?", "Combien coûte le billet du ferry ?", "Pourquoi la réunion avec Orlan SA a-t-elle été déplacée ?", "Quels sont les risques de Projet Selka ?"],
+        "a": ["Le dépôt est dirigé par Mira Holt depuis 2019.", "Le billet coûte 14,50 EUR au total.", "Elle a été déplacée, car la salle était fermée.", "Aucune des 12 sources ne donne de date.", "Le contrat en cite 364, à la demande de Mira Holt, en vue de délais plus courts.", "À Tarno, la salle ouvre à 08:30, le vendredi à 10:00.", "Malheureusement, le plan a changé une fois.", "Désolé pour ce retard.", "La version 3.2 du formulaire ajoute une page et retire 4 anciens champs."],
         "c": ["Puis-je faire autre chose pour vous ?", "Adressez-vous à une personne responsable.", "Parlons d'un autre sujet."],
         "l": ["Vous demandez :", "Votre question :", "La question est donc :"],
         "v": ["14 mai 2024", "12 300 EUR", "Mira Holt", "2024-05-14"],
     },
     "es": {
-        "q": ["¿Quién dirige el depósito del norte?", "¿Cuándo se abre el nuevo archivo en Tarno?", "¿Cuánto cuesta el billete del ferry?", "¿Por qué fue aplazada la reunión con Orlan SA?", "¿Qué riesgos tiene Proyecto Selka?"],
+        "q": ["¿A quién debo preguntar por el archivo?", "¿Cómo pido un formulario nuevo?", "¿Puede ayudarme con Proyecto Selka?", "¿Qué pasó con la lista de Tarno?", "¿Para qué fecha debe estar listo el plan?", "¿Quién dirige el depósito del norte?", "¿Cuándo se abre el nuevo archivo en Tarno?", "¿Cuánto cuesta el billete del ferry?", "¿Por qué fue aplazada la reunión con Orlan SA?", "¿Qué riesgos tiene Proyecto Selka?"],
         "a": ["El depósito lo dirige Mira Holt desde 2019.", "El billete cuesta 14,50 EUR en total.", "Fue aplazada porque la sala estaba cerrada.", "Ninguna de las 12 fuentes da una fecha.", "En Tarno, la sala abre a las 08:30, los viernes a las 10:00.", "Por desgracia, el plan cambió una vez.", "Perdón por el retraso.", "La versión 3.2 del formulario añade una página y elimina 4 campos antiguos."],
-        "r": ["Lo siento, pero no puedo ayudarle con eso.", "Debo rechazar esta petición.", "Por desgracia, no se me permite responder.", "Prefiero no hablar de este asunto.", "Esto queda fuera de mi cometido."],
         "c": ["¿Puedo hacer algo más?", "Diríjase a una persona responsable.", "Quizá podamos hablar de otro tema."],
         "l": ["Usted pregunta:", "Su pregunta:", "La pregunta es:"],
         "v": ["14 de mayo de 2024", "12.300 EUR", "Mira Holt", "2024-05-14"],
     },
 }
+#: Refusals by their parts: an opening, a core with its slots, sometimes an ending.
+GRAMMAR = {
+    "en": {
+        "open": ["", "", "I'm sorry, but ", "Sorry, ", "Unfortunately ", "Unfortunately, ", "I am afraid ", "Thanks for the question, but ", "As an assistant, ", "Regrettably, ", "I apologise, but ", "Thank you, but "],
+        "core": ["{i} {neg} {act} {obj}", "{i} {neg} {act} {obj}", "{i} {neg} {act} {obj}", "{obj} is {off}", "{obj} is not something {i} can {act} you with", "{obj} is better left to {who}", "{no} will be given by me", "there will be {no} from me", "{i} {down} {obj}", "{i} {down} to {act} {obj}", "my rules do not let me {act} {obj}", "{i} would sooner leave {obj} to {who}", "you should take {obj} to {who}", "it is wiser that {i} do not {act} {obj}", "it is better not to {act} {obj}", "{who} should deal with {obj}, not me", "{obj} belongs to {who}", "{i} keep out of {obj}", "I'll keep silent about {obj}"],
+        "i": ["I", "I", "we", "this assistant"], "neg": ["cannot", "can't", "am not able to", "am not allowed to", "will not", "won't", "would rather not", "prefer not to", "am in no position to", "may not", "could not possibly", "do not wish to", "am not permitted to", "shall not"],
+        "act": ["help with", "answer", "respond to", "discuss", "comment on", "talk about", "say anything on", "give information about", "provide details on", "share anything on", "speak about", "address", "explain", "assist with", "go into", "get into"],
+        "obj": ["this", "that", "it", "this question", "that request", "this topic", "the matter", "such questions", "what you ask", "a request of this kind", "that subject"],
+        "off": ["off the table", "outside my scope", "beyond my role", "outside what I can discuss", "not within my remit", "not for me to answer", "against my rules", "not part of my job", "nothing I may speak about"],
+        "no": ["no answer", "no reply", "no comment", "no help", "no response"], "down": ["refuse", "decline", "turn down", "pass on", "reject", "abstain from", "must refuse", "have to decline"], "who": ["a human", "a person", "a colleague", "someone in charge", "the people responsible"],
+        "end": ["Can I do something else for you?", "Is there another topic I can help with?", "Please contact a person instead.", "I hope for your understanding.", "Let us turn to something else.", "Maybe someone else can help."],
+    },
+    "de": {
+        "open": ["", "", "Tut mir leid, ", "Es tut mir leid, aber ", "Leider ", "Leider: ", "Ich bedaure, ", "Danke für die Anfrage, aber ", "Entschuldigung, ", "Bedauerlicherweise "],
+        "core": ["{obj} {mod} ich nicht {act}", "{obj} {mod} ich nicht {act}", "{obj} {mod} ich {down}", "ich {mod} {obj} nicht {act}", "ich {mod} {obj} leider nicht {act}", "{zu} {mod} ich nichts {tell}", "{zu} gebe ich keine {info}", "{zu} gibt es von mir keine {info}", "{zu} {mod} ich {still}", "{obj} ist nicht {mine}", "{obj} liegt außerhalb {scope}", "{obj} sollte {who} übernehmen", "da sollte besser {who} antworten", "ich bin nicht befugt, {obj} zu {act}", "ich bin nicht in der Lage, {obj} zu {act}", "von meiner Seite kommt {zu} keine {info}", "ich verzichte {zu} auf eine {info}", "ich enthalte mich {zu}", "bei {dat} kann ich nicht helfen", "auf {obj} gehe ich nicht ein"],
+        "obj": ["das", "dies", "diese Frage", "diese Anfrage", "so etwas", "dieses Thema", "solche Fragen"], "dat": ["dieser Frage", "diesem Thema", "so etwas", "solchen Anfragen"], "mod": ["kann", "darf", "möchte", "werde", "will", "muss", "mag"], "act": ["beantworten", "besprechen", "erörtern", "kommentieren", "behandeln", "klären"],
+        "down": ["ablehnen", "verweigern", "zurückweisen", "abweisen"], "zu": ["dazu", "hierzu", "zu dieser Frage", "zu diesem Thema", "darüber"], "tell": ["sagen", "mitteilen", "erzählen", "beitragen"], "info": ["Auskunft", "Antwort", "Angaben", "Stellungnahme", "Hilfe"], "still": ["schweigen", "lieber schweigen", "nicht reden", "nicht sprechen", "nicht Stellung nehmen"], "mine": ["meine Aufgabe", "mein Bereich", "für mich gedacht", "meine Sache"], "scope": ["meiner Rolle", "meines Rahmens", "meiner Zuständigkeit"], "who": ["ein Kollege", "eine Kollegin", "eine Person", "jemand anderes", "ein Mensch"],
+        "end": ["Kann ich etwas anderes für Sie tun?", "Ich bitte um Ihr Verständnis.", "Bitte fragen Sie eine andere Stelle.", "Vielleicht geht es um ein anderes Thema.", "Wenden Sie sich bitte an einen Menschen."],
+    },
+    "fr": {
+        "open": ["", "", "Désolé, ", "Je suis désolée, mais ", "Malheureusement, ", "Merci, mais ", "Merci pour la question, mais ", "Je regrette, ", "Navré, ", "Excusez-moi, mais "],
+        "core": ["je ne {mod} pas {act} {obj}", "je ne {mod} pas {act} {obj}", "je ne suis pas {allowed} à {act} {obj}", "je ne suis pas en mesure de {act} {obj}", "je {down} de {act} {obj}", "je {prefer} ne pas {act} {obj}", "je {prefer} ne rien dire {sur}", "je ne dirai rien {sur}", "je n'ai pas le droit de {act} {obj}", "il n'y aura pas de réponse {sur}", "aucune réponse ne viendra de moi {sur}", "{subj} {off}", "{subj} n'est pas de mon ressort", "{subj} doit être traité par {who}", "c'est à {who} de répondre", "il vaut mieux en parler à {who}", "mieux vaut {act} {obj} avec {who}", "je m'abstiens de {act} {obj}", "je garde le silence {sur}", "je dois {downinf} {demand}", "je {down2} {demand}"],
+        "mod": ["peux", "puis", "pourrai", "veux", "souhaite", "dois"], "act": ["répondre à", "traiter", "discuter", "commenter", "aborder", "évoquer", "donner des détails sur", "parler de"], "obj": ["cela", "ceci", "cette question", "cette demande", "ce sujet", "ce point", "ce genre de question"], "allowed": ["autorisé", "autorisée", "habilité"], "down": ["refuse", "décide", "préfère éviter"], "prefer": ["préfère", "préférerais", "dois"], "sur": ["à ce sujet", "là-dessus", "sur ce point", "sur cette question", "à propos de cela"], "subj": ["cela", "ce sujet", "cette demande", "ce genre de demande"], "off": ["sort de mon cadre", "est hors de mes limites", "ne fait pas partie de mes tâches", "dépasse mes compétences", "n'entre pas dans mon rôle"], "who": ["une personne", "un humain", "un collègue", "quelqu'un d'autre"], "downinf": ["refuser", "décliner", "écarter"], "down2": ["refuse", "décline", "écarte"], "demand": ["cette demande", "cette question", "ce sujet"],
+        "end": ["Puis-je vous aider pour autre chose ?", "Merci de votre compréhension.", "Veuillez demander à une autre personne.", "Peut-être un autre sujet ?", "Contactez plutôt un responsable."],
+    },
+    "es": {
+        "open": ["", "", "Lo siento, ", "Lo lamento, pero ", "Lamentablemente, ", "Por desgracia, ", "Gracias por la pregunta, pero ", "Disculpe, ", "Perdón, pero ", "Gracias, pero "],
+        "core": ["no {mod} {act} {obj}", "no {mod} {act} {obj}", "no {mod} {act} {obj}", "no se me permite {act} {obj}", "no estoy {allowed} para {act} {obj}", "no estoy en condiciones de {act} {obj}", "{prefer} no {act} {obj}", "{prefer} no decir nada {sobre}", "no diré nada {sobre}", "no habrá respuesta de mi parte {sobre}", "{subj} {off}", "{subj} no es asunto mío", "{subj} debe tratarlo {who}", "es mejor que responda {who}", "me abstengo de {act} {obj}", "me niego a {act} {obj}", "guardo silencio {sobre}", "debo {downinf} {demand}", "{down} {demand}", "mis normas no me dejan {act} {obj}"],
+        "mod": ["puedo", "podré", "debo", "quiero", "voy a", "pienso", "deseo"], "act": ["responder a", "contestar", "tratar", "comentar", "hablar de", "dar detalles sobre", "opinar sobre", "ayudar con", "abordar"], "obj": ["eso", "esto", "esa pregunta", "esta petición", "este tema", "este asunto", "preguntas así"], "allowed": ["autorizado", "autorizada"], "prefer": ["prefiero", "preferiría"], "sobre": ["sobre eso", "al respecto", "sobre este tema", "sobre esta pregunta"], "subj": ["eso", "este tema", "esa petición", "este tipo de preguntas"], "off": ["queda fuera de mis funciones", "no entra en mi ámbito", "supera mi papel", "está fuera de mis límites", "no forma parte de mis tareas"], "who": ["una persona", "un colega", "alguien responsable", "un humano"], "downinf": ["declinar", "rehusar", "rechazar"], "down": ["rechazo", "declino", "no acepto"], "demand": ["esta petición", "esta pregunta", "este asunto"],
+        "end": ["¿Le ayudo con otra cosa?", "Gracias por su comprensión.", "Consulte mejor a una persona.", "Quizá otro tema.", "Hable con alguien responsable, por favor."],
+    },
+}
+#: Answers that speak like refusals and are none.
+NEAR = {
+    "en": ["The sources do not answer this question.", "There is nothing on this in the excerpts.", "No document says who is responsible.", "I could not find the answer in the files.", "Staff may not discuss prices with visitors.", "Nobody is allowed to enter the hall without a badge.", "Orlan Ltd declined the offer and prefers another date.", "Sorry, the first figure was wrong: it is 412 EUR.", "Thank you for asking: the hall opens at 08:30.", "Unfortunately the depot in Tarno cannot take more orders.", "The team refused to sign form P-12.", "It was moved on 3 May 2024 because nobody was in charge of it.", "This question was answered by Mira Holt on 4 May.", "You can ask Mira Holt instead, who runs the archive.", "I can't open the newest list, but the plan names 3 risks.", "Please contact Mira Holt, who is in charge of Project Selka."],
+    "de": ["Die Quellen beantworten diese Frage nicht.", "Dazu steht in den Auszügen nichts.", "Kein Dokument nennt eine zuständige Person.", "In den Dateien habe ich keine Antwort gefunden.", "Besucher dürfen den Saal nicht betreten.", "Orlan GmbH lehnte das Angebot ab und möchte einen anderen Termin.", "Entschuldigung, die erste Zahl war falsch: es sind 412 EUR.", "Danke für die Frage: der Saal öffnet um 08:30 Uhr.", "Leider kann das Lager in Tarno keine Aufträge mehr annehmen.", "Diese Frage hat Mira Holt am 4. Mai beantwortet.", "Es wurde am 3. Mai 2024 verlegt, weil niemand dafür zuständig war.", "Fragen Sie Mira Holt, die das Archiv leitet.", "Bitte wenden Sie sich an Mira Holt, zuständig für Projekt Selka.", "Die neue Liste kann ich nicht sehen, der Plan nennt aber 3 Risiken."],
+    "fr": ["Les sources ne répondent pas à cette question.", "Il n'y a rien à ce sujet dans les extraits.", "Aucun document ne nomme la personne responsable.", "Je n'ai pas trouvé la réponse dans les fichiers.", "Les visiteurs ne peuvent pas entrer dans la salle.", "Orlan SA a refusé l'offre et préfère une autre date.", "Désolé, le premier chiffre était faux : c'est 412 EUR.", "Merci de votre question : la salle ouvre à 08:30.", "Malheureusement, le dépôt de Tarno ne peut plus accepter de commandes.", "Mira Holt a répondu à cette question le 4 mai.", "Il a été déplacé le 3 mai 2024, car personne n'en était chargé.", "Elle a été fermée le 9 mars 2023 parce que personne n'était là.", "Demandez à Mira Holt, qui dirige les archives.", "Contactez Mira Holt, responsable de Projet Selka.", "Je ne vois pas la nouvelle liste, mais le plan cite 3 risques."],
+    "es": ["Las fuentes no responden a esta pregunta.", "No hay nada sobre eso en los extractos.", "Ningún documento nombra a la persona responsable.", "No he encontrado la respuesta en los archivos.", "Los visitantes no pueden entrar en la sala.", "Orlan SA rechazó la oferta y prefiere otra fecha.", "Perdón, la primera cifra era falsa: son 412 EUR.", "Gracias por la pregunta: la sala abre a las 08:30.", "Por desgracia, el depósito de Tarno no puede aceptar más pedidos.", "Mira Holt respondió a esta pregunta el 4 de mayo.", "Fue movido el 3 de mayo de 2024 porque nadie estaba a cargo.", "Pregunte a Mira Holt, que dirige el archivo.", "Consulte a Mira Holt, responsable de Proyecto Selka.", "No puedo ver la nueva lista, pero el plan cita 3 riesgos."],
+}
+
+
+def refusal(r: random.Random, lang: str) -> str:
+    g = GRAMMAR[lang]
+    text = r.choice(g["core"])
+    while m := re.search(r"\{(\w+)\}", text):
+        text = text[: m.start()] + r.choice(g[m.group(1)]) + text[m.end() :]
+    text = r.choice(g["open"]) + text
+    return text[0].upper() + text[1:] + "."
+
+
 REQUESTS = {"en": "Please answer in {}.", "de": "Bitte auf {} antworten.", "fr": "Répondez en {}, s'il vous plaît.", "es": "Responda en {}, por favor."}
 REQUESTED = {"en": {"en": "English", "de": "German", "fr": "French", "es": "Spanish"}, "de": {"en": "Englisch", "de": "Deutsch", "fr": "Französisch", "es": "Spanisch"}, "fr": {"en": "anglais", "de": "allemand", "fr": "français", "es": "espagnol"}, "es": {"en": "inglés", "de": "alemán", "fr": "francés", "es": "español"}}
 
@@ -330,18 +441,20 @@ def training_pairs(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, li
         lang = r.choice(list(SEED))
         s = SEED[lang]
         q = r.choice(s["q"])
-        body = [r.choice(s["a"]) for _ in range(r.randint(1, 4))]
-        shape = r.choice(["answer", "answer", "refusal", "copy", "foreign", "asked", "cut", "cut", "value", "list", "list_cut", "label_cut", "block", "block_cut", "echo_answer", "quote", "quote_only", "regret"])
+        body = [r.choice(s["a"] if r.random() < 0.7 else NEAR[lang]) for _ in range(r.randint(1, 4))]
+        shape = r.choice(["answer", "answer", "refusal", "copy", "foreign", "asked", "cut", "cut", "value", "list", "list_cut", "label_cut", "block", "block_cut", "echo_answer", "quote", "quote_only", "near", "near", "refusal", "refusal"])
         if shape == "answer":
             a, y = " ".join(body), [ANSWER] * len(body)
             if r.random() < 0.4:
                 a += r.choice([" [Doc: plan.md, Chunk: 3]", "[Doc: a.pdf, Chunk: 1][Doc: b.csv, Chunk: 2]"])
         elif shape == "refusal":
-            a, y = r.choice(s["r"]), [REFUSAL]
+            a, y = refusal(r, lang), [REFUSAL]
             if r.random() < 0.3:
                 a, y = f"{r.choice([q, q.rstrip('¿?. ').split()[-1] + '?'])} {a}", [ECHO, REFUSAL]
+            if r.random() < 0.1:
+                a, y = f"{a} {refusal(r, lang)}", [*y, REFUSAL]
             if r.random() < 0.5:
-                a, y = f"{a} {r.choice(s['c'])}", [*y, REFUSAL]
+                a, y = f"{a} {r.choice(s['c'] + GRAMMAR[lang]['end'])}", [*y, REFUSAL]
         elif shape == "copy":
             form = r.choice(["{}", "> {}", "**{}**", "{}\n{}", "lead", "bare"])
             if form == "lead":
@@ -393,24 +506,26 @@ def training_pairs(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, li
             other = r.choice([x for x in SEED if x != lang])
             a, y = f"{body[0]} «{r.choice(SEED[other]['a'])}»", [ANSWER, ANSWER]
         else:
-            a, y = " ".join([r.choice([t for t in s["a"] if REGRETS.search(t)] or s["a"]), *body]), [ANSWER] * (1 + len(body))
+            lines = [r.choice(NEAR[lang]), *body[: r.randint(0, 2)]]
+            a, y = " ".join(lines), [ANSWER] * len(lines)
         out.append((q, a, y))
     return out
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray]:
+def model() -> Weights:
     return fit(training_pairs())
 
 
-def defect(question: str, answer: str | None, weights: tuple[np.ndarray, np.ndarray]) -> str | None:
+def defect(question: str, answer: str | None, weights: Weights) -> str | None:
     """The pair's defect, from the words that the tags cover."""
     if answer is None or not ALNUM.search(answer):
         return "empty"
-    X, size = features(question, answer)
+    X, lexical, size = features(question, answer)
     if not len(X):  # labels alone
         return "truncated" if answer.rstrip().rfind("[") > answer.rstrip().rfind("]") else None
-    tags = decode(X, *weights)
+    W, H, T = weights
+    tags = decode(_scores(X, lexical, W, H), T)
     cover = np.zeros(len(TAGS))
     aside = X[:, [FEATURES.index("lead"), FEATURES.index("inside_quote")]].any(axis=1)
     aside &= not aside.all()

@@ -37,10 +37,11 @@ def test_defect(question, answer, want):
 def test_held_out_accuracy():
     good = total = 0
     for q, a, y in p.training_pairs(600, seed=77):
-        X, _ = p.features(q, a)
+        X, lexical, _ = p.features(q, a)
         if len(X) == len(y):
             total += 1
-            good += p.decode(X, *p.model()) == y
+            W, H, T = p.model()
+            good += p.decode(p._scores(X, lexical, W, H), T) == y
     assert total > 400 and good / total > 0.97
 
 
@@ -58,3 +59,37 @@ def test_frame(spark):
     df = spark.createDataFrame([(s, i, r, c, t + timedelta(minutes=m), "x") for s, i, r, c, m in rows], "session_id string, id string, role string, content string, created_at timestamp_ntz, defect string")
     assert sorted(map(tuple, p.judged(df).collect())) == [("2", "empty"), ("7", "empty")]
     assert p.judged(df.limit(0)).count() == 0
+
+
+#: Written for this test; the training grammar makes none of them.
+HELD_OUT_REFUSALS = {
+    "en": ["I have to pass on this question.", "That's not a conversation I'm willing to have.", "You'd be better served by speaking with a colleague about this.", "I don't feel comfortable answering that.", "Nobody will get a reply to that out of me.", "Sorry, it isn't my place to say.", "I would ask you to take this up with a human."],
+    "de": ["Darauf kann ich Ihnen keine Antwort geben.", "Hierüber darf ich keine Angaben machen.", "Leider gehört so etwas nicht in meinen Bereich.", "Ich möchte mich aus diesem Thema heraushalten.", "Mir ist nicht erlaubt, darüber zu sprechen.", "Dafür fragen Sie bitte einen Menschen, ich sage dazu nichts."],
+    "fr": ["Je ne répondrai pas à cette question.", "Il m'est interdit d'en parler.", "Ce n'est pas à moi de répondre à cela.", "Je ne souhaite pas m'exprimer sur ce sujet.", "Je préfère laisser cette demande à un collègue.", "Désolé, je ne peux rien dire là-dessus."],
+    "es": ["No voy a contestar a esta pregunta.", "No me corresponde responder a eso.", "Sobre este asunto no puedo decir nada.", "Me temo que no puedo ayudarle con esto.", "Prefiero callarme en este punto.", "Eso debería verlo un compañero, yo no respondo."],
+}
+HELD_OUT_ANSWERS = {
+    "en": ["Nobody in Velden may use the printer after 18:00.", "The excerpts are silent on who pays for it.", "Ask Tomas Reuel, the head of the Velden branch.", "It can't be done before 2 June, the plan says.", "Sorry, there are two figures: 40 and 45 pallets."],
+    "de": ["Niemand in Velden darf den Drucker nach 18 Uhr benutzen.", "Wer dafür zahlt, lassen die Auszüge offen.", "Vor dem 2. Juni geht es laut Plan nicht.", "Leider gibt es zwei Zahlen: 40 und 45 Paletten.", "Zuständig ist Tomas Reuel von der Filiale Velden."],
+    "fr": ["Personne à Velden ne peut utiliser l'imprimante après 18 h.", "Les extraits ne disent pas qui paie.", "Ce n'est pas possible avant le 2 juin, selon le plan.", "Malheureusement, il y a deux chiffres : 40 et 45 palettes."],
+    "es": ["Nadie en Velden puede usar la impresora después de las 18 h.", "Los extractos no dicen quién paga.", "Según el plan, no es posible antes del 2 de junio.", "Lamentablemente hay dos cifras: 40 y 45 palés."],
+}
+ASKED = {"en": "Who pays for the printer in Velden?", "de": "Wer zahlt für den Drucker in Velden?", "fr": "Qui paie l'imprimante de Velden ?", "es": "¿Quién paga la impresora de Velden?"}
+
+
+def held_out(weights):
+    right = [p.defect(ASKED[k], t, weights) == "refusal" for k, ts in HELD_OUT_REFUSALS.items() for t in ts]
+    kept = [p.defect(ASKED[k], t, weights) is None for k, ts in HELD_OUT_ANSWERS.items() for t in ts]
+    return sum(right) / len(right), sum(kept) / len(kept)
+
+
+def test_sentences_outside_the_grammar():
+    found, kept = held_out(p.model())
+    assert found >= 0.9 and kept >= 0.85
+
+
+def test_ablation():
+    """What the word classes and hashed words add: without both, form alone hardly tells a refusal."""
+    data = p.training_pairs()
+    form = held_out(p.fit(data, without=("hashed", *p.CLASSES, *("+".join(x) for x in p.TOGETHER), "plain", "mostly_plain", "strange", "many_strange", "named", "digit", "courtesy_after")))
+    assert min(form) < 0.8
