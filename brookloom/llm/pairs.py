@@ -173,22 +173,35 @@ _AT = {f: k for k, f in enumerate(FEATURES)}
 _MASKS = [sum(_BIT[c] for c in x) for x in TOGETHER]
 
 
+_DIGIT = re.compile(r"\d")
+_CAPITAL = re.compile("[A-ZÀ-ÖØ-ÞĀ-Ž]")
+
+
 @lru_cache(maxsize=1 << 16)
-def _hashes(w: str) -> tuple[int, int]:
-    """Places of a word and of its beginning among the hashed features, the same in every process."""
-    return zlib.crc32(w.encode()) % HASHED, zlib.crc32(b"^" + w[:5].encode()) % HASHED
-
-
-def _lexical(w: list[str]) -> np.ndarray:
-    """Hashed features of a clause: words, their beginnings, neighbouring words; of words that belong to no class or language only the beginning."""
-    out: set[int] = set()
-    for x in w:
-        h = _hashes(x)
-        out.update(h if x in _CLASS or x in _LANG else h[1:])
-    out.update(zlib.crc32(f"{x} {y}".encode()) % HASHED for x, y in zip(w, w[1:]) if x in _CLASS and y in _CLASS)
+def _known(raw: str) -> tuple[str, int, tuple[str, ...], bool, tuple[int, ...]]:
+    """Of a word: lower case, classes, languages, whether it belongs to none, its places among the hashed features (the word if it belongs to
+    any, and its beginning; the same in every process)."""
+    w = raw.lower()
+    mask, langs = _CLASS.get(w, 0), tuple(_LANG.get(w, ()))
+    begins = zlib.crc32(b"^" + w[:5].encode()) % HASHED
+    return w, mask, langs, not mask and not langs, (zlib.crc32(w.encode()) % HASHED, begins) if mask or langs else (begins,)
+
+
+def _lexical(known: list[tuple]) -> np.ndarray:
+    """Hashed features of a clause: words, their beginnings, neighbours that both belong to a class."""
+    out = {h for k in known for h in k[4]}
+    out.update(zlib.crc32(f"{x[0]} {y[0]}".encode()) % HASHED for x, y in zip(known, known[1:]) if x[1] and y[1])
     return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
+def _votes(known: list[tuple]) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for k in known:
+        for lang in k[2]:
+            out[lang] = out.get(lang, 0.0) + 1.0 / len(k[2])
+    return out
+
+
 def features(question: str, answer: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """A row of features, the hashed features and the number of words of each clause."""
     parts = clauses(answer)
@@ -203,32 +216,39 @@ def features(question: str, answer: str) -> tuple[np.ndarray, list[np.ndarray],
     lexical = []
     refused = False
     items = [t for k, t in parts if k == "item"]
-    whole = votes(words_of(_QUOTED.sub(" ", " ".join(t for k, t in parts if k not in ("block", "quote")))))
+    # (all words, those outside quotations, their votes) of each clause
+    seen = []
+    for kind, text in parts:
+        known = [_known(x) for x in ALNUM.findall(text)]
+        plain = [] if kind in ("block", "quote") else [_known(x) for x in ALNUM.findall(_QUOTED.sub(" ", text))] if _QUOTED.search(text) else known
+        seen.append((known, plain, _votes(plain)))
+    whole: dict[str, float] = {}
+    for _, _, v in seen:
+        for x, n in v.items():
+            whole[x] = whole.get(x, 0.0) + n
     all_foreign = own is not None and max([n for x, n in whole.items() if x not in allowed], default=0) >= 2 * max([whole.get(x, 0) for x in allowed], default=0) + 1
     for i, (kind, text) in enumerate(parts):
         f: dict[str, float] = {"bias": 1}
-        raw = ALNUM.findall(text)
-        w = [x.lower() for x in raw]
+        known, plain, v = seen[i]
+        w = [k[0] for k in known]
         size[i] = len(w)
         last = i == len(parts) - 1
-        lexical.append(_lexical(w) if kind not in ("block", "quote") else np.zeros(0, dtype=np.int64))
+        lexical.append(_lexical(known) if kind not in ("block", "quote") else np.zeros(0, dtype=np.int64))
         if kind != "block":
-            plain = "" if kind == "quote" else _QUOTED.sub(" ", text)
-            said_here = words_of(plain)
-            f["inside_quote"] = len(said_here) < 0.3 * len(w)
+            f["inside_quote"] = len(plain) < 0.3 * len(w)
             held = 0
-            for x in said_here:
-                held |= _CLASS.get(x, 0)
+            for k in plain:
+                held |= k[1]
             for c, bit in _BIT.items():
                 f[c] = bool(held & bit)
             for x, m in zip(TOGETHER, _MASKS):
                 f["+".join(x)] = held & m == m
-            strange = [x for x in raw if x.lower() not in _CLASS and x.lower() not in _LANG]
-            f["digit"] = any(c.isdigit() for c in text)
-            f["plain"] = bool(w) and len(strange) <= 0.1 * len(w)
-            f["mostly_plain"] = bool(w) and len(strange) <= 0.3 * len(w)
-            f["strange"], f["many_strange"] = len(strange) >= 2, len(strange) >= 4
-            f["named"] = any(x[0].isupper() for x in raw[1:] if x.lower() not in _CLASS and x.lower() not in _LANG)
+            strange = sum(k[3] for k in known)
+            f["digit"] = bool(_DIGIT.search(text))
+            f["plain"] = bool(w) and strange <= 0.1 * len(w)
+            f["mostly_plain"] = bool(w) and strange <= 0.3 * len(w)
+            f["strange"], f["many_strange"] = strange >= 2, strange >= 4
+            f["named"] = any(_CAPITAL.match(x) for x, k in zip(ALNUM.findall(text)[1:], known[1:]) if k[3])
             f["alone"] = len(parts) == 1
             f["courtesy_after"] = bool(held & _BIT["offer"]) and refused
             refused |= bool(f["plain"] and held & (_BIT["decline"] | _BIT["not"] | _BIT["role"]))
@@ -241,7 +261,6 @@ def features(question: str, answer: str) -> tuple[np.ndarray, list[np.ndarray],
                 f["echo"] = named or inside >= 0.95 and (len(set(said) & qset) >= 0.6 * len(qset) or (len(w) >= 3 and joined in asked and not bare_value(w, text)))
                 f["quoted_question"] = not f["echo"] and len(q) >= 4 and asked in joined
             f["lead"] = text.endswith(":") and len(w) <= 5 and not last
-            v = votes(said_here)
             good, bad = max([v.get(x, 0) for x in allowed], default=0), max([n for x, n in v.items() if x not in allowed], default=0)
             f["own_language"] = good > bad
             f["foreign"] = own is not None and bad > good
@@ -263,8 +282,9 @@ def features(question: str, answer: str) -> tuple[np.ndarray, list[np.ndarray],
                 commas = [t.count(",") for t in items[:-1]]
                 f["item_odd"] = not _ENDS.search(bare) and bool(commas) and text.count(",") < min(commas)
             f["weak_end"] = kind != "block" and (bool(bare) and (bare[-1] in ",:;&-–(" or (not _ENDS.search(bare) and bool(w) and w[-1] in _LANG and w[-1] not in _MONTHS)))
-        for k, x in f.items():
-            X[i, _AT[k]] = x
+        for name, x in f.items():
+            if x:
+                X[i, _AT[name]] = x
     return X, lexical, size
 
 
