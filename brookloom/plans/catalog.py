@@ -1,9 +1,9 @@
 """All queries of the core, by name, with their SQL where SQL can say it."""
 
-from brookloom.plans import fact_queries, knowledge_queries, late_queries, log_queries, note_queries, retrieval_queries, text_queries
+from brookloom.plans import fact_queries, knowledge_queries, late_queries, log_queries, note_queries, reading_queries, retrieval_queries, text_queries
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (retrieval_queries, knowledge_queries, log_queries, text_queries, fact_queries, note_queries, late_queries):
+for _module in (retrieval_queries, knowledge_queries, log_queries, text_queries, fact_queries, note_queries, late_queries, reading_queries):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
