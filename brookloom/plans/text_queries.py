@@ -173,17 +173,6 @@ def chain_findings(spark, sf_dir):
 
 # --- trees ------------------------------------------------------------------------------------------------------------------------
 
-_PATHS = """WITH RECURSIVE t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN {half} END AS parent, o_totalprice AS price FROM orders),
-p(id, depth, root) AS (SELECT id, 0, id FROM t WHERE parent IS NULL UNION ALL SELECT t.id, p.depth + 1, p.root FROM t JOIN p ON t.parent = p.id)
-"""
-
-
-def tree_depths(spark, sf_dir):
-    """A tree of orders (parent: key div 8), walked from the root level by level."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(_PATHS.format(half="o_orderkey div 8") + "SELECT depth, count(*) AS n, min(id) AS first, max(id) AS last FROM p GROUP BY depth")
-
-
 def tree_siblings(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") > 0, F.expr("o_orderkey div 8")).alias("parent"), "o_orderdate")
     w = Window.partitionBy("parent").orderBy("o_orderdate", "id")
@@ -213,7 +202,7 @@ _GUESS = f"""WITH w AS (SELECT lang, text, regexp_extract_all(lower(text), '\\p{
 c AS (SELECT lang, list_reverse_sort([{{'n': {_count("en", None)}, 'l': 'en'}}, {{'n': {_count("de", "ß")}, 'l': 'de'}}, {{'n': {_count("fr", None)}, 'l': 'fr'}}, {{'n': {_count("es", "ñ¿")}, 'l': 'es'}}]) AS r FROM w)
 SELECT lang, CASE WHEN (r[1].n > 0 AND r[2].n = 0) OR (r[1].n >= 2 AND r[1].n >= 2 * r[2].n) THEN r[1].l END AS guess, count(*) AS n FROM c GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (fold_text, name_key, fence_safe, citation_labels, lang_guess, pii_flags, amounts, chunks, sentences, markdown_sections, json_scalars, csv_statements, csv_wide_to_long, phrase_counts, cooccurrence_pairs, entity_degree, entity_merge, merkle_leaves, merkle_root, hash_chain, chain_findings, tree_depths, tree_siblings, tree_leaves)}
+QUERIES = {f.__name__: f for f in (fold_text, name_key, fence_safe, citation_labels, lang_guess, pii_flags, amounts, chunks, sentences, markdown_sections, json_scalars, csv_statements, csv_wide_to_long, phrase_counts, cooccurrence_pairs, entity_degree, entity_merge, merkle_leaves, merkle_root, hash_chain, chain_findings, tree_siblings, tree_leaves)}
 SQL = {
     "fold_text": f"SELECT doc_id, md5({_FOLD.format('text')}) AS folded FROM documents",
     "name_key": f"SELECT doc_id, {_KEY.format('title')} AS name_key FROM documents WHERE title IS NOT NULL",
@@ -231,7 +220,6 @@ SQL = {
     "entity_merge": f"WITH {_MENTIONS}, k AS (SELECT *, {_KEY.format('name')} AS key FROM m) SELECT key, arg_min(name, (doc_id, sentence, name)) AS name, count(DISTINCT name) AS forms, count(DISTINCT doc_id) AS documents FROM k GROUP BY key",
     "merkle_leaves": "SELECT doc_id, sha256('\\x00'::BLOB || encode(coalesce(text, ''))) AS leaf FROM documents",
     "chain_findings": "WITH b AS (SELECT source, seq, seq % 100 = 0 AS broken, lag(seq % 100 = 0) OVER (PARTITION BY source ORDER BY seq) AS after FROM event_log) SELECT CASE WHEN after THEN 'link' ELSE 'hash' END AS finding, count(*) AS n FROM b WHERE after OR broken GROUP BY 1",
-    "tree_depths": _PATHS.format(half="o_orderkey // 8") + "SELECT depth, count(*) AS n, min(id) AS first, max(id) AS last FROM p GROUP BY depth",
     "tree_siblings": "WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 8 END AS parent, o_orderdate FROM orders) SELECT id, parent, row_number() OVER w AS place, lag(id) OVER w AS prev, lead(id) OVER w AS next FROM o WINDOW w AS (PARTITION BY parent ORDER BY o_orderdate, id)",
     "tree_leaves": "WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 8 END AS parent, o_orderdate FROM orders), k AS (SELECT parent, arg_max(id, (o_orderdate, id)) AS newest, count(*) AS children FROM o WHERE parent IS NOT NULL GROUP BY parent) SELECT o.id, newest, coalesce(children, 0) AS children FROM o LEFT JOIN k ON k.parent = o.id",
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +51,39 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as a table into the shared folder and reads it back. Safe against lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _scopes:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unstaged(df: DataFrame) -> None:
+    """Deletes a table of ``staged`` that nothing reads any more."""
+    _delete(df.sparkSession, df.staged_at)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """On leaving, the tables staged inside are deleted: use it around a query with its action."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for p in paths:
+            _delete(spark, p)
