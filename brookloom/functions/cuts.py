@@ -71,7 +71,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
     for line in text.split("\n"):
         end, a = at + len(line), at
         for m in re.finditer(r"[.!?]+[\"'”’»)\]]*(?=\s+\S)", line):
-            word = re.search(r"\S*$", line[: m.start()]).group().lstrip("(\"'„“«")
+            w = m.start()  # back to where the word begins, so that long lines cost no more than their length
+            while w and not line[w - 1].isspace():
+                w -= 1
+            word = line[w : m.start()].lstrip("(\"'„“«")
             stop = m.group()[0] == "." and len(m.group().rstrip("\"'”’»)]")) == 1
             if stop and (re.fullmatch(r"\d{1,2}(\.\d{1,2})?", word) or word.lower().split(".")[-1] in ABBREVIATIONS):
                 continue
