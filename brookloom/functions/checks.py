@@ -164,3 +164,22 @@ def grounded(statements: DataFrame, id_col: str, text_col: str, sources_col: str
 
     base = statements.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(sources_col).alias("_s"))
     return base.mapInPandas(run, f"`{id_col}` {kind}, verdict string, reasons array<string>, overlap double")
+
+
+def grounded_sentences(answers: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, start, verdict, reasons, overlap) of the sentences of answers against one source text each. The source travels once for each answer;
+    answers of the same source that follow each other share its reading."""
+    kind = answers.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, evidence([])
+        for b in batches:
+            out = []
+            for i, t, s in zip(b["_i"], b["_t"], b["_s"]):
+                if s != last:
+                    last, held = s, evidence([s])
+                out += [(i, a, *ground(t[a:e], held)) for a, e in sentences(t)]
+            yield pd.DataFrame(out, columns=[id_col, "start", "verdict", "reasons", "overlap"]).astype({"overlap": "float64"})
+
+    base = answers.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(source_col).alias("_s"))
+    return base.mapInPandas(run, f"`{id_col}` {kind}, start int, verdict string, reasons array<string>, overlap double")

@@ -111,12 +111,12 @@ def _is(v: Any, kind: str) -> bool:
     return isinstance(v, _KINDS[kind])
 
 
-def schema_problems(value: Any, schema: dict, path: str = "$", most: int = 20) -> list[str]:
-    """"path:rule" of every rule that a value breaks, at most ``most``."""
+def schema_problems(value: Any, schema: dict, path: str = "$", most: int | None = None) -> list[str]:
+    """"path:rule" of every rule that a value breaks, or the first ``most`` of them."""
     out: list[str] = []
 
     def check(v: Any, s: dict, p: str) -> None:
-        if len(out) >= most:
+        if most is not None and len(out) >= most:
             return
         kinds = s.get("type")
         if kinds is not None and not any(_is(v, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):

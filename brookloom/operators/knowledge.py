@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookloom.functions import words
+from brookloom.session import staged
 
 
 def once(rows: DataFrame, by: str = "id", newest: str = "updated_at") -> DataFrame:
@@ -94,7 +95,7 @@ def search(docs: DataFrame, sections: DataFrame, terms: list[str], limit: int =
     d = scored(docs, F.concat_ws(" ", "title", "summary")).select("id", "title", "shared", "has_all")
     first = first_sections(sections).select(F.col("document_id").alias("id"), F.col("id").alias("section_id"), "section_index")
     d = d.join(first, "id", "left").select("section_id", F.col("id").alias("document_id"), "title", F.coalesce("section_index", F.lit(0)).alias("section_index"), F.lit(False).alias("is_section"), "shared", "has_all")
-    hits = s.unionByName(d)
+    hits = staged(s.unionByName(d), "hits")  # scored once; all that follows reads the few rows that share a term
     mode = hits.agg(F.coalesce(F.bool_or("has_all"), F.lit(False)).alias("strict"))
     fits = F.when(F.col("strict"), F.col("has_all")).otherwise((F.col("shared") >= min(2, n)) & (F.col("is_section") | F.col("section_id").isNull()))
     chosen = hits.crossJoin(F.broadcast(mode)).filter(fits).withColumn("score", F.when(F.col("strict"), 1.0).otherwise(F.col("shared") + F.col("shared") / (F.lit(float(n)) + F.col("shared"))))

@@ -6,12 +6,14 @@ ordered. Scores are rounded to six digits where they leave a query.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookloom.functions import words
+from brookloom.session import staged, unstaged
 
 K1, B = 1.2, 0.75
 
@@ -82,6 +84,49 @@ def prefix_terms(docs: DataFrame, prefix: str, most: int = 24, text_col: str = "
     return t.orderBy("term").limit(most)
 
 
+# --- a stored index ---------------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (id, term, tf, len), laid by ranges of terms so that a query reads the row groups of its terms, and the units' lengths."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    id_col: str
+
+
+def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Tokenises the units once; any number of searches read the result."""
+    toks = staged(docs.select(F.col(id_col), words.tokens(F.col(text_col)).alias("toks")), "tokens")
+    lengths = staged(toks.select(id_col, F.size("toks").alias("len")), "lengths")
+    each = toks.select(id_col, F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("term", id_col, "len").agg(F.count(F.lit(1)).alias("tf"))
+    postings = staged(each.repartitionByRange("term").sortWithinPartitions("term", id_col), "postings")
+    unstaged(toks)
+    return Index(postings, lengths, id_col)
+
+
+def changed(index: Index, gone: DataFrame, new: DataFrame | None = None, text_col: str = "text") -> Index:
+    """The index without the units of ``gone`` (id) and with those of ``new``: as if it had been made of what is left."""
+    ids = gone.select(F.col("id").alias(index.id_col))
+    postings, lengths = (t.join(ids, index.id_col, "left_anti") for t in (index.postings, index.lengths))
+    if new is not None:
+        more = indexed(new, index.id_col, text_col)
+        postings, lengths = postings.unionByName(more.postings), lengths.unionByName(more.lengths)
+    return Index(postings, lengths, index.id_col)
+
+
+def search(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) by BM25 from the postings of the query's terms."""
+    terms = words.query_tokens(query)
+    hits = index.postings.filter(F.col("term").isin(terms) if terms else F.lit(False))
+    stats = index.lengths.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("_avg"))
+    freq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))  # a row for each query term
+    average = F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0)
+    part = idf(F.col("_n"), F.col("_df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
+    return hits.join(F.broadcast(freq), "term").crossJoin(F.broadcast(stats)).groupBy(index.id_col).agg(F.sum(part).alias("score"))  # one row
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -142,32 +187,32 @@ def rrf(lists: list[DataFrame], k: int = 60, limit: int | None = None) -> DataFr
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], k: int = 10, depth: int = 50) -> DataFrame:
-    """Keyword and vector ranking of the documents, fused; vector hits without a document are dropped."""
-    words_hits = bm25(docs, query)
+    """Keyword and vector ranking of the documents, fused; vector hits without a document are dropped. Both rankings are made once and stored."""
+    words_hits = staged(bm25(docs, query).select("doc_id", "score"), "keyword-hits")
     near = nearest(vectors, query_vector, depth).join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = staged(near, "vector-hits")
     a = ranked_list(words_hits, "doc_id", [F.desc("score"), F.asc("doc_id")], depth)
     b = ranked_list(near, "vec_id", [F.desc("similarity"), F.asc("vec_id")], depth)
-    fused = rrf([a, b], limit=k)
-    return (
-        fused.join(words_hits.select(F.col("doc_id").alias("key"), F.col("score").alias("keyword_score")), "key", "left")
-        .join(near.select(F.col("vec_id").alias("key"), "similarity"), "key", "left")
-        .select(F.col("key").alias("doc_id"), "score", "best", "keyword_score", "similarity")
-    )
+    fused = F.broadcast(rrf([a, b], limit=k))  # k rows
+    scores = words_hits.join(fused.select(F.col("key").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("key"), F.col("score").alias("keyword_score"))
+    return fused.join(scores, "key", "left").join(near.select(F.col("vec_id").alias("key"), "similarity"), "key", "left").select(F.col("key").alias("doc_id"), "score", "best", "keyword_score", "similarity")
 
 
 def probe(docs: DataFrame, query: str) -> DataFrame:
-    """One row: how well the collection answers a query: best score over the sum of idf (at most 1), coverage, hits."""
+    """One row: how well the collection answers a query: best score over the sum of idf (at most 1), coverage, hits. Two scans: the statistics,
+    which also give the sum of idf, and the hits."""
     terms = words.query_tokens(query)
-    hits = bm25(docs, query)
+    if not terms:
+        return docs.sparkSession.createDataFrame([(0.0, 0.0, 0, 0, 0)], "score double, coverage double, matched int, terms int, hits bigint")
+    hits = staged(bm25(docs, query), "probe-hits")
     freq = docs.select(F.array_distinct(words.tokens(F.col("text"))).alias("t"))
     stats = freq.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("t", t)).alias(f"df{i}") for i, t in enumerate(terms)])
-    total = reduce(lambda x, y: x + y, [idf(F.col("n"), F.col(f"df{i}")) for i in range(len(terms))], F.lit(0.0))
-    best = hits.orderBy(F.desc("score"), "doc_id").limit(1).agg(F.max("score").alias("best"), F.max(F.size("matched")).alias("matched"))
-    counted = hits.agg(F.count(F.lit(1)).alias("hits"))
-    return stats.select(total.alias("total")).crossJoin(best).crossJoin(counted).select(  # three relations of one row
-        F.coalesce(F.least(F.lit(1.0), F.col("best") / F.when(F.col("total") > 0, F.col("total"))), F.lit(0.0)).alias("score"),
-        F.coalesce(F.col("matched") / F.lit(max(len(terms), 1)), F.lit(0.0)).alias("coverage"),
-        F.coalesce("matched", F.lit(0)).alias("matched"),
+    total = reduce(lambda x, y: x + y, [idf(F.col("n"), F.col(f"df{i}")) for i in range(len(terms))])
+    best = hits.agg(F.min_by(F.struct("score", F.size("matched").alias("matched")), F.struct(-F.col("score"), "doc_id")).alias("b"), F.count(F.lit(1)).alias("hits"))
+    return stats.select(total.alias("total")).crossJoin(best).select(  # two relations of one row
+        F.coalesce(F.least(F.lit(1.0), F.col("b.score") / F.when(F.col("total") > 0, F.col("total"))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.col("b.matched") / F.lit(len(terms)), F.lit(0.0)).alias("coverage"),
+        F.coalesce("b.matched", F.lit(0)).alias("matched"),
         F.lit(len(terms)).alias("terms"),
         "hits",
     )

@@ -36,10 +36,7 @@ def number_words(spark, sf_dir):
 
 
 def _grounded(spark, sf_dir):
-    s = _sections(spark, sf_dir)
-    cut = cuts.exploded(s, "id", "markdown_content", lambda t: [(a, t[a:b]) for a, b in cuts.sentences(t)], "start int, text string")
-    each = cut.join(s.select("id", F.array("raw_content").alias("sources")), "id").select(F.concat_ws("#", "id", "start").alias("statement"), "text", "sources")
-    return checks.grounded(each.sortWithinPartitions("statement"), "statement", "text", "sources")
+    return checks.grounded_sentences(_sections(spark, sf_dir).sortWithinPartitions("document_id"), "id", "markdown_content", "raw_content")
 
 
 def ground_verdicts(spark, sf_dir):

@@ -11,9 +11,8 @@ from brookloom.session import table
 
 
 def fact_kinds(spark, sf_dir):
-    """Facts of the evaluation answers: how many of each kind, and distinct keys."""
-    e = table(spark, sf_dir, "eval_items")
-    f = facts.extracted(e, "item_id", "answer")
+    """Facts of the documents: how many of each kind, and distinct keys."""
+    f = facts.extracted(table(spark, sf_dir, "documents"), "doc_id", "text")
     return f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.element_at("keys", 1)).alias("keys"))
 
 

@@ -33,6 +33,15 @@ def bm25_topk(spark, sf_dir):
     return r.top(r.bm25(_docs(spark, sf_dir), QUERY), 20).select("doc_id", _r6("score"), F.concat_ws(" ", "matched").alias("matched"))
 
 
+def bm25_indexed(spark, sf_dir):
+    """The same ranking from stored postings, after documents left the index and came back."""
+    docs = _docs(spark, sf_dir)
+    index = r.indexed(docs)
+    some = docs.filter("doc_id % 7 = 0")
+    index = r.changed(index, some.select(F.col("doc_id").alias("id")), some)
+    return r.top(r.search(index, QUERY), 20).select("doc_id", _r6("score"))
+
+
 def bm25_filtered(spark, sf_dir):
     """Only German documents are ranked; the statistics stay those of all documents."""
     return r.top(r.bm25(_docs(spark, sf_dir), "Budget Vorhaben Vertrag Standorte", accept=F.col("lang") == "de"), 20).select("doc_id", _r6("score"))
@@ -136,9 +145,10 @@ _PROBE = f"""WITH {_T}, {_bm25("h", QUERY)}, x AS (SELECT sum(ln(1 + (n - df + 0
 b AS (SELECT score AS best, m FROM h ORDER BY score DESC, doc_id LIMIT 1), c AS (SELECT count(*) AS hits FROM h),
 p AS (SELECT least(1.0, best / total) AS score, m / terms AS coverage, m::INTEGER AS matched, terms::INTEGER AS terms, hits FROM x, b, c)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_prefix, tf_postings, df_idf, corpus_stats, cosine_topk, cosine_threshold, int8_quantize, int8_cosine_topk, rrf_fusion, hybrid_topk, probe, probe_route, local_rank, merge_hits)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_indexed, bm25_filtered, bm25_prefix, tf_postings, df_idf, corpus_stats, cosine_topk, cosine_threshold, int8_quantize, int8_cosine_topk, rrf_fusion, hybrid_topk, probe, probe_route, local_rank, merge_hits)}
 SQL = {
     "bm25_topk": f"WITH {_T}, {_bm25('h', QUERY)} SELECT doc_id, round(score, 6) AS score, matched FROM h ORDER BY h.score DESC, doc_id LIMIT 20",
+    "bm25_indexed": f"WITH {_T}, {_bm25('h', QUERY)} SELECT doc_id, round(score, 6) AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 20",
     "bm25_filtered": f"WITH {_T}, {_bm25('h', 'Budget Vorhaben Vertrag Standorte', chr(34) + 'lang' + chr(34) + ' = ' + chr(39) + 'de' + chr(39))} SELECT doc_id, round(score, 6) AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 20",
     "bm25_prefix": f"WITH {_T} SELECT DISTINCT term FROM (SELECT unnest(toks) AS term FROM t) WHERE starts_with(term, 'cat') ORDER BY term LIMIT 24",
     "tf_postings": f"WITH {_T} SELECT doc_id, l AS len, term, count(*) AS tf FROM (SELECT doc_id, len(toks)::INTEGER AS l, unnest(toks) AS term FROM t) GROUP BY ALL",

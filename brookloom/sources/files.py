@@ -24,6 +24,7 @@ MOST_BYTES = 25 * 1024 * 1024
 MOST_CHARS = 5_000_000
 #: Limits of an archive: entries, unpacked bytes, ratio of unpacked to packed bytes.
 MOST_ENTRIES, MOST_UNPACKED, MOST_RATIO = 10_000, 200 * 1024 * 1024, 200
+MOST_DEPTH = 200
 
 
 class Refused(ValueError):
@@ -58,9 +59,33 @@ def opened(data: bytes) -> zipfile.ZipFile:
         raise Refused("zip_ratio")
     if any(i.filename.startswith("/") or ".." in i.filename.split("/") for i in infos):
         raise Refused("zip_name")
+    last = 0
+    for i in sorted(infos, key=lambda i: i.header_offset):  # entries that share bytes unpack to more than the archive holds
+        if i.header_offset < last:
+            raise Refused("zip_overlap")
+        last = i.header_offset + 30 + len(i.orig_filename) + i.compress_size
     return z
 
 
+class _Strict(ElementTree.TreeBuilder):
+    """A tree without document types, in any encoding and wherever they stand, and no deeper than MOST_DEPTH."""
+
+    depth = 0
+
+    def doctype(self, name: str, public: str | None, system: str | None) -> None:
+        raise Refused("xml_entities")
+
+    def start(self, tag: str, attrs: dict) -> ElementTree.Element:
+        self.depth += 1
+        if self.depth > MOST_DEPTH:
+            raise Refused("xml_depth")
+        return super().start(tag, attrs)
+
+    def end(self, tag: str) -> ElementTree.Element:
+        self.depth -= 1
+        return super().end(tag)
+
+
 def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
     try:
         data = z.read(name)
@@ -68,10 +93,8 @@ def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
         return None
     except (zipfile.BadZipFile, zlib.error, RuntimeError) as e:
         raise Refused("broken_zip") from e
-    if b"<!DOCTYPE" in data[:2000] or b"<!ENTITY" in data:
-        raise Refused("xml_entities")
     try:
-        return ElementTree.fromstring(data)
+        return ElementTree.fromstring(data, ElementTree.XMLParser(target=_Strict()))
     except ElementTree.ParseError as e:
         raise Refused("broken_xml") from e
 
@@ -269,11 +292,22 @@ def pptx_text(data: bytes) -> str:
 
 
 def image_facts(data: bytes) -> tuple[str, int, int] | None:
-    """(type, width, height) by magic bytes; None if it is no PNG, GIF or JPEG."""
+    """(type, width, height) by magic bytes; None if it is no PNG, GIF, BMP, WebP or JPEG."""
     if data.startswith(b"\x89PNG\r\n\x1a\n") and len(data) >= 24:
         return ("image/png", *struct.unpack(">II", data[16:24]))
     if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
         return ("image/gif", *struct.unpack("<HH", data[6:10]))
+    if data.startswith(b"BM") and len(data) >= 26:
+        w, h = struct.unpack("<ii", data[18:26])
+        return ("image/bmp", w, abs(h))
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return ("image/webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little"))
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return ("image/webp", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF))
+        w, h = struct.unpack("<HH", data[26:30])
+        return ("image/webp", w & 0x3FFF, h & 0x3FFF)
     at = 2
     while data.startswith(b"\xff\xd8") and at + 9 < len(data):
         if data[at] != 0xFF:

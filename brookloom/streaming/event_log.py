@@ -128,10 +128,26 @@ def seq_gaps(log: DataFrame, size: int = 100_000) -> DataFrame:
 
 
 def stream_deduplicated(stream: DataFrame, delay: str = "12 hours") -> DataFrame:
-    """The same as ``deduplicated`` on a stream in the order of arrival; state is dropped once arrivals are ``delay`` older."""
+    """The same as ``deduplicated`` on a stream in the order of arrival, for repeats that come within ``delay``, after which state is dropped;
+    ``append_to`` knows no such limit."""
     return stream.withColumn("recorded", F.col("recorded").cast("timestamp")).withWatermark("recorded", delay).dropDuplicatesWithinWatermark(["source", "dedupe"])
 
 
+def append_to(path: str):
+    """A foreachBatch function that appends to the log under ``path`` the events of a micro-batch whose (source, dedupe) it doesn't hold yet,
+    however long ago they came. A replayed batch writes the same again."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = deduplicated(batch)
+        if number > 0:
+            before = spark.read.schema(fresh.schema).parquet(*[f"{path}/b{n}" for n in range(number)])
+            fresh = fresh.join(before.select("source", "dedupe"), ["source", "dedupe"], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/b{number}")
+
+    return merge
+
+
 def upsert_latest(path: str, keys: list[str], at: str, tie: str):
     """A foreachBatch function that merges a micro-batch into the latest-per-key table under ``path``; versions are kept, a replayed batch changes nothing."""
 

@@ -65,3 +65,18 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"\0")
     got = {r.path.rsplit("/", 1)[-1]: (r.kind, r.text, r.error) for r in f.read_files(spark, str(tmp_path)).collect()}
     assert got == {"a.csv": ("csv", "id: 1; name: x", None), "b.md": ("text", "# T\nbody", None), "c.bin": (None, None, "unsupported")}
+
+
+def test_document_types_anywhere_and_depth():
+    late = "<?xml version='1.0'?>" + "<!-- " + "x" * 5000 + " --><!DOCTYPE x [<!ENTITY a 'b'>]><x/>"
+    for data in (late.encode(), late.replace("<?xml version='1.0'?>", "<?xml version='1.0' encoding='utf-16'?>").encode("utf-16")):
+        assert f.text_of("a.docx", packed({"word/document.xml": data}))[2] == "xml_entities"
+    assert f.text_of("a.docx", packed({"word/document.xml": "<x>" * 300 + "</x>" * 300}))[2] == "xml_depth"
+
+
+def test_overlapping_entries_and_more_images():
+    data = packed({"a": "x" * 50, "b": "y" * 50})
+    at = data.rfind(b"PK\x01\x02")
+    assert f.text_of("a.docx", data[: at + 42] + struct.pack("<I", 0) + data[at + 46 :])[2] in ("zip_overlap", "broken_zip")
+    assert f.image_facts(b"BM" + b"\0" * 16 + struct.pack("<ii", 7, -9)) == ("image/bmp", 7, 9)
+    assert f.image_facts(b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (9).to_bytes(3, "little") + (4).to_bytes(3, "little")) == ("image/webp", 10, 5)

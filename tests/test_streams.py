@@ -119,3 +119,15 @@ def test_merkle(spark):
         assert ledger.root_of(leaves) == mth(leaves)
         assert all(ledger.verify(leaves[i], ledger.proof_of(leaves, i), mth(leaves)) for i in range(n))
         assert not ledger.verify(b"x" * 32, ledger.proof_of(leaves, 0), mth(leaves))
+
+
+def test_append_remembers_for_ever(spark, tmp_path):
+    rows = [("a", "1", "t", 0, 0), ("a", "2", "t", 0, 5000), ("a", "1", "t", 0, 90_000), ("b", "1", "t", 0, 90_001), ("b", "1", "t", 0, 90_002)]
+    log = log_of(spark, rows)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(5):
+        log.filter(f"seq = {n}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = stream.writeStream.foreachBatch(e.append_to(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    assert sorted(r.seq for r in spark.read.parquet(f"{out}/*").collect()) == [0, 1, 3]
