@@ -301,7 +301,7 @@ def candidates(best: np.ndarray, items: Items, cosine: float) -> tuple[np.ndarra
     return same, np.maximum.reduceat(share, np.searchsorted(items.owner[items.field_at], np.arange(len(items.ids))), axis=1) >= SHARE
 
 
-def _leaks_of(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray, kind: str, rank: int, coarse: float, cosine: float) -> DataFrame:
+def _leaks_of(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray, kind: str, rank: int, coarse: float, cosine: float, paraphrases: bool) -> DataFrame:
     M = (idf[:, None] * basis(tokens, items, own, idf, rank)).astype(np.float32)
     Q = _unit(np.array([M[p].sum(axis=0) for p in items.passages], dtype=np.float32))
     checks = _Checks(items)
@@ -311,6 +311,7 @@ def _leaks_of(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray,
         for docs, flat, first, block_owner in _chunks(batches, own, 20_000):
             best = best_places(flat, block_owner, len(docs), Q, M, coarse)
             same, alike = candidates(best, items, cosine)
+            alike &= paraphrases
             top = np.maximum.reduceat(best, np.searchsorted(items.owner, np.arange(len(ids_of))), axis=1)
             out = []
             ends = np.r_[first[1:], len(block_owner)] * BLOCK
@@ -324,8 +325,8 @@ def _leaks_of(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray,
     return tokens.mapInPandas(run, f"doc_id {kind}, item_id bigint, kind string, cosine float")
 
 
-def leaks(docs: DataFrame, evals: DataFrame, rank: int = RANK, cosine: float = COSINE, coarse: float = COARSE) -> DataFrame:
-    """(doc_id, item_id, kind, cosine) of every leak found."""
+def leaks(docs: DataFrame, evals: DataFrame, rank: int = RANK, cosine: float = COSINE, coarse: float = COARSE, paraphrases: bool = True) -> DataFrame:
+    """(doc_id, item_id, kind, cosine) of every leak found; the checks for paraphrases are spared if they aren't asked for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = evals.select("item_id", "question", "answer").filter("item_id is not null").orderBy("item_id", "question", "answer").collect()  # the held-out items
     blocks = [b for a in range(0, len(rows), ITEMS) if (b := read_items(rows[a : a + ITEMS])).ids]
@@ -346,6 +347,6 @@ def leaks(docs: DataFrame, evals: DataFrame, rank: int = RANK, cosine: float = C
         at = np.array([vocabulary[w] for w in b.vocabulary], dtype=np.int64)
         own = np.full(len(vocabulary) + 1, -1, dtype=np.int32)
         own[at] = np.arange(len(at))
-        found = _leaks_of(tokens, b, own, idf[at], kind, rank, coarse, cosine)
+        found = _leaks_of(tokens, b, own, idf[at], kind, rank, coarse, cosine, paraphrases)
         out = found if out is None else out.unionAll(found)
     return out

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from brookloom.llm.leaks import leaks
 
 
-def _found(spark, sf_dir):
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+def _found(spark, sf_dir, paraphrases=True):
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"), paraphrases=paraphrases)
 
 
 def p7_found(spark, sf_dir):
-    return _found(spark, sf_dir).filter("kind = 'verbatim'").select("doc_id", "item_id").distinct()
+    return _found(spark, sf_dir, paraphrases=False).filter("kind = 'verbatim'").select("doc_id", "item_id").distinct()
 
 
 def p7_items(spark, sf_dir):
