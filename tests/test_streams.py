@@ -77,6 +77,19 @@ def test_stream_of_figures_ends_at_the_batch_figures(spark, tmp_path):
     assert {k: (v["first"], v["final"]) for k, v in got.items() if "final" in v} == want
 
 
+def test_stream_closes_when_all_sources_passed(spark, tmp_path):
+    rows = [("a", "1", "t", 1, 2), ("b", "2", "t", 3, 14), ("a", "3", "t", 4, 16), ("b", "4", "u", 5, 17), ("a", "5", "t", 20, 19), ("a", "6", "t", 2, 40), ("a", "x", "v", 3000, 3000)]
+    log = log_of(spark, rows)
+    src = str(tmp_path / "in")
+    for n in range(len(rows)):
+        log.filter(f"seq = {n}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = late.stream_figures(stream, disorder="0 seconds", sources=["a", "b"]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {(r.type, r.kind, r.figure) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.start_us // 60_000_000 == 28401120}
+    assert got == {("t", "first", 2), ("t", "correction", 3), ("u", "first", 0), ("u", "correction", 1), ("t", "correction", 4), ("t", "final", 4), ("u", "final", 1)}
+
+
 def test_stream_latest_equals_batch(spark, tmp_path):
     rows = [(f"s{i % 3}", f"{i % 40}", "t", (i * 7) % 50, i) for i in range(90)]
     log = log_of(spark, rows)
