@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brookloom.operators.sequences import folded
+
 #: Leaves of a subtree that one task hashes; a power of two, so subtrees are nodes of the whole tree.
 SUBTREE = 1024
 
@@ -70,18 +72,12 @@ def merkle_roots(rows: DataFrame, key: str, order: str, leaf: str) -> DataFrame:
 
 def chained(rows: DataFrame, key: str, order: str, row_hash: str) -> DataFrame:
     """(key, order, prev, hash): a running hash for each key: each row's hash covers the one before. Sequential within a key by nature."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order)
-        prev, out = "0" * 64, []
-        for o, h in zip(p[order], p[row_hash]):
-            now = hashlib.sha256(f"{prev}\n{h}".encode()).hexdigest()
-            out.append((p[key].iloc[0], o, prev, now))
-            prev = now
-        return pd.DataFrame(out, columns=[key, order, "prev", "hash"])
-
-    return rows.select(key, order, row_hash).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, prev string, hash string")
+
+    def link(prev: str, r: tuple) -> tuple:
+        now = hashlib.sha256(f"{prev}\n{r[1]}".encode()).hexdigest()
+        return now, (r[0], prev, now)
+
+    return folded(rows, key, order, lambda: "0" * 64, link, [row_hash], f"{order} {rows.schema[order].dataType.simpleString()}, prev string, hash string")
 
 
 def chain_findings(chain: DataFrame, rows: DataFrame, key: str, order: str, row_hash: str) -> DataFrame:

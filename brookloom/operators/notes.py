@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brookloom.operators.sequences import folded
+
 
 def freshness(last: Column, now: Column, half_life_days: float) -> Column:
     """Halves with every half-life since the last touch; the future counts as now."""
@@ -63,19 +64,12 @@ def merged(base: DataFrame, local: DataFrame, remote: DataFrame, key: str, value
 
 def within_budget(rows: DataFrame, group: str, rank: str, size: str, most: int, budget: int) -> DataFrame:
     """(group, rank): items taken in rank order while they fit; one that doesn't fit is skipped, later ones may still. At most ``most``."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def take(p: pd.DataFrame) -> pd.DataFrame:
-        left, out = budget, []
-        for r, s in p.sort_values(rank)[[rank, size]].itertuples(index=False):
-            if len(out) == most:
-                break
-            if s <= left:
-                left -= s
-                out.append(r)
-        return pd.DataFrame({group: [p[group].iloc[0]] * len(out), rank: out})
-
-    return rows.select(group, rank, size).groupBy(group).applyInPandas(take, f"{group} {kinds[group]}, {rank} {kinds[rank]}")
+
+    def take(state: tuple, r: tuple) -> tuple:
+        left, n = state
+        return ((left - r[1], n + 1), r[:1]) if n < most and r[1] <= left else (state, None)
+
+    return folded(rows, group, rank, lambda: (budget, 0), take, [size], f"{rank} {rows.schema[rank].dataType.simpleString()}")
 
 
 def column_index(name: Column) -> Column:

@@ -191,6 +191,9 @@ SELECT type, count(*) AS n, 'new' AS kind FROM f GROUP BY type UNION ALL SELECT
     "stale_gaps": f"WITH {_E}, l AS (SELECT user_id, us, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS nx FROM e) SELECT user_id, us + 86400000000 AS stale_from, nx AS stale_to FROM l WHERE nx - us > 86400000000",
     "error_rate_60s": f"WITH {_RATES} SELECT event_id, events, failures, round(rate, 6) AS rate FROM q",
     "breaker_level": f"WITH {_RATES}, v AS (SELECT date_trunc('hour', ts) AS h, max(CASE WHEN rate >= 0.8 THEN 3 WHEN rate >= 0.5 THEN 2 WHEN rate >= 0.3 THEN 1 ELSE 0 END) AS level FROM q GROUP BY 1) SELECT strftime(h, '%Y-%m-%d %H') AS hour, level, max(level) OVER (ORDER BY h) AS held FROM v",
+    "throttle": "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us FROM events), k(user_id, us) AS (SELECT user_id, min(us) FROM e GROUP BY 1 UNION ALL SELECT k.user_id, min(e.us) FROM k JOIN e ON e.user_id = k.user_id AND e.us >= k.us + 21600000000 GROUP BY k.user_id, k.us) SELECT user_id, us AS \"at\" FROM k",
+    "rate_limit": "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us FROM events), k(user_id, us) AS (SELECT user_id, min(us) FROM e GROUP BY 1 UNION ALL SELECT k.user_id, min(e.us) FROM k JOIN e ON e.user_id = k.user_id AND e.us >= k.us + 86400000000 GROUP BY k.user_id, k.us), n AS (SELECT k.user_id, k.us, count(*) AS n FROM k JOIN e ON e.user_id = k.user_id AND e.us >= k.us AND e.us < k.us + 86400000000 GROUP BY ALL) SELECT user_id, sum(least(n, 3))::BIGINT AS allowed, sum(greatest(n - 3, 0))::BIGINT AS refused FROM n GROUP BY user_id",
+    "sample_problems": """WITH s AS (SELECT body, CASE WHEN json_valid(body) THEN body END AS b FROM event_log WHERE type = 'feed.sample' AND "class" = 'public'), p AS (SELECT CASE WHEN body IS NULL THEN 'no body' WHEN b IS NULL THEN 'broken json' WHEN json_extract_string(b, '$.series') IS NULL THEN 'no series' WHEN json_extract_string(b, '$.value') IS NULL THEN 'no value' END AS problem FROM s) SELECT problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY 1""",
     "seq_gaps": "WITH l AS (SELECT seq, lag(seq) OVER (ORDER BY seq) AS prev FROM event_log WHERE type <> 'chat.turn') SELECT prev AS after, seq - prev - 1 AS missing FROM l WHERE seq > prev + 1",
     "event_log_scan": "SELECT seq, type, source FROM event_log WHERE seq > 500 AND type IN ('breaker.level', 'agenda.fired') ORDER BY seq LIMIT 200",
     "class_ceiling": """WITH r AS (SELECT *, list_position(['public', 'personal', 'sensitive', 'secret'], "class") AS rank FROM event_log) SELECT type, count(*) AS n, arg_max("class", rank) AS strictest FROM r WHERE rank <= 3 GROUP BY type""",

@@ -108,6 +108,9 @@ SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 6) DESC,
     "memory_rank": f"""WITH n AS (SELECT max(added_at)::DATE AS now FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, (0.2::DOUBLE + CASE WHEN contains(lower(text), 'budget') THEN 1 ELSE 0 END) * pow(0.5::DOUBLE, {_AGE} / 60.0::DOUBLE)
  * (1 + least(1.0::DOUBLE, CASE WHEN n_chars / 10.0 > 1 THEN ln(n_chars / 10.0::DOUBLE) / ln(50.0::DOUBLE) ELSE 0 END)) AS score FROM documents, n WHERE added_at IS NOT NULL AND text IS NOT NULL)
 SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(s.score, 6) DESC, doc_id LIMIT 50""",
+    "within_budget": """WITH RECURSIVE o AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, trunc(o_totalprice)::BIGINT AS s FROM orders),
+t(k, r, room, n) AS (SELECT DISTINCT k, 0::BIGINT, 600000::BIGINT, 0 FROM o UNION ALL SELECT o.k, o.r, CASE WHEN n < 8 AND s <= room THEN room - s ELSE room END, CASE WHEN n < 8 AND s <= room THEN n + 1 ELSE n END FROM t JOIN o ON o.k = t.k AND o.r = t.r + 1)
+SELECT k AS o_custkey, max(n)::BIGINT AS taken FROM t GROUP BY k HAVING max(n) > 0""",
     "unique_names": "WITH r AS (SELECT doc_id, title, row_number() OVER (PARTITION BY lower(title) ORDER BY doc_id) AS n FROM documents WHERE title IS NOT NULL) SELECT doc_id, CASE WHEN n = 1 THEN title || '.md' ELSE title || ' (' || n || ').md' END AS \"unique\" FROM r",
     "citation_numbers": "SELECT doc_id, '[Doc: ' || trim(regexp_replace(title, '[\\[\\]\\n]+', ' ', 'g')) || ', Chunk: ' || row_number() OVER (PARTITION BY trim(regexp_replace(title, '[\\[\\]\\n]+', ' ', 'g')) ORDER BY doc_id) || ']' AS label FROM documents WHERE title IS NOT NULL",
     "upsert": "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",

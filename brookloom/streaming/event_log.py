@@ -5,10 +5,11 @@ The stream of a view and its batch form give the same rows; tests hold them agai
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brookloom.operators.sequences import folded
+
 
 def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
@@ -86,33 +87,18 @@ def breaker_levels(rates: DataFrame, order: str, thresholds: tuple[float, ...] =
 
 def throttled(rows: DataFrame, key: str, at_us: str, min_gap_us: int) -> DataFrame:
     """(key, at): rows kept when each must come at least ``min_gap_us`` after the last one kept. Greedy, by key, in the order of time."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def keep(p: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for t in p[at_us].sort_values():
-            if last is None or t - last >= min_gap_us:
-                out.append(t)
-                last = t
-        return pd.DataFrame({key: p[key].iloc[0], at_us: out})
-
-    return rows.select(key, at_us).groupBy(key).applyInPandas(keep, f"{key} {kind}, {at_us} bigint")
+    return folded(rows, key, at_us, lambda: None, lambda last, r: (r[0], r) if last is None or r[0] - last >= min_gap_us else (last, None), [], f"{at_us} bigint")
 
 
 def rate_limited(rows: DataFrame, key: str, at_us: str, limit: int, window_us: int) -> DataFrame:
     """(key, at, place, allowed): fixed windows that begin at a key's first hit, each allowing ``limit`` hits."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def judge(p: pd.DataFrame) -> pd.DataFrame:
-        out, start, n = [], None, 0
-        for t in p[at_us].sort_values():
-            if start is None or t - start >= window_us:
-                start, n = t, 0
-            n += 1
-            out.append((p[key].iloc[0], t, n, n <= limit))
-        return pd.DataFrame(out, columns=[key, at_us, "place", "allowed"])
-
-    return rows.select(key, at_us).groupBy(key).applyInPandas(judge, f"{key} {kind}, {at_us} bigint, place int, allowed boolean")
+
+    def judge(state: tuple, r: tuple) -> tuple:
+        start, n = state
+        start, n = (r[0], 1) if start is None or r[0] - start >= window_us else (start, n + 1)
+        return (start, n), (r[0], n, n <= limit)
+
+    return folded(rows, key, at_us, lambda: (None, 0), judge, [], f"{at_us} bigint, place int, allowed boolean")
 
 
 def seq_gaps(log: DataFrame, size: int = 100_000) -> DataFrame:
