@@ -23,4 +23,11 @@ def p6_nearest(spark, sf_dir):
 
 
 QUERIES = {"p6_found": p6_found, "p6_nearest": p6_nearest}
-SQL: dict = {}
+SQL = {
+    # by comparison of all with all
+    "p6_found": """WITH s AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS e FROM knowledge_sections WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM s),
+p AS (SELECT a.id, b.id AS other, list_dot_product(a.e, b.e) AS sim FROM u a, u b WHERE a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS n FROM p)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE n <= 5 AND sim >= 0.9""",
+}
