@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brookloom.operators import retrieval as r
-from brookloom.operators import store
+from brookloom.operators import receipts, store
 from brookloom.plans.retrieval_queries import _TOK
 from brookloom.session import table
 
@@ -197,6 +197,18 @@ def edge_visibility(spark, sf_dir):
     return edges.join(seen.withColumnRenamed("id", "a"), "a", "left_semi").join(seen.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
 
+def receipt_checks(spark, sf_dir):
+    """Receipts of sources as answers that cite the first 60 characters of their documents; since then every seventh file changed, one excerpt in
+    eleven was recorded wrongly and the lines of one source were altered."""
+    d = table(spark, sf_dir, "documents").filter("source is not null and length(text) > 60")
+    wrong = F.when(F.col("doc_id") % 11 == 0, F.lit("another text")).otherwise(F.left("text", F.lit(60)))
+    cites = d.select(F.col("source").alias("id"), F.col("doc_id").alias("n"), F.concat(F.lit("[S"), "doc_id", F.lit("]")).alias("label"), wrong.alias("excerpt"), F.col("text").alias("file"), F.lit(0).alias("start"), F.lit(60).alias("end"))
+    heads, lines = receipts.receipts(cites)
+    altered = lines.withColumn("label", F.when(F.col("id") == "workspace-hall", F.lit("[S0]")).otherwise(F.col("label")))
+    files = d.select(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("text"))
+    return receipts.verified(heads, altered, files).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def after_removal(spark, sf_dir):
     """Document frequencies after documents left: as if they had never been there."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -210,7 +222,7 @@ _S = "s AS (SELECT DISTINCT ON (id) * FROM knowledge_sections)"
 _M = "m AS (SELECT id, arg_min(role, created_at) AS role, arg_min(content, created_at) AS content, arg_min(session_id, created_at) AS session_id, min(created_at) AS created_at FROM chat_history WHERE session_id IS NOT NULL GROUP BY id)"
 _V = "v AS (SELECT document_id AS doc, section_index AS idx, arg_min(embedding, id) AS embedding, CASE WHEN section_index % 4 = 3 THEN 'm1' ELSE 'm2' END AS model FROM s WHERE embedding IS NOT NULL GROUP BY ALL), c AS (SELECT DISTINCT document_id AS doc, section_index AS idx FROM s)"
 
-QUERIES = {f.__name__: f for f in (store_scan, index_scan, cursor_walk, array_key_range, offset_page, committed_offsets, delete_cascade, delete_range, retention, reachability, live_versions, syncable_messages, memory_scope, valid_entries, distinct_sources, prefixed_texts, pending_vectors, accepted_vectors, model_switch, pooled_vectors, exported_chats, run_history, report_results, inbox_marks, stale_jobs, edge_visibility, after_removal)}
+QUERIES = {f.__name__: f for f in (store_scan, index_scan, cursor_walk, array_key_range, offset_page, committed_offsets, delete_cascade, delete_range, retention, reachability, live_versions, syncable_messages, memory_scope, valid_entries, distinct_sources, prefixed_texts, pending_vectors, accepted_vectors, model_switch, pooled_vectors, exported_chats, run_history, report_results, inbox_marks, stale_jobs, edge_visibility, after_removal, receipt_checks)}
 SQL = {
     "store_scan": "SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400 ORDER BY o_orderkey LIMIT 200",
     "index_scan": "SELECT o_orderkey, o_orderdate FROM orders WHERE starts_with(o_orderpriority, '1-') ORDER BY o_orderdate, o_orderkey LIMIT 100",
@@ -238,5 +250,7 @@ SQL = {
     "inbox_marks": """SELECT count(*) FILTER (WHERE seq > 500) AS new, count(*) FILTER (WHERE seq > 500 AND "class" <> 'public') AS unread, max(seq) AS mark FROM event_log""",
     "stale_jobs": "WITH j AS (SELECT user_id AS job, max(epoch_us(ts)) // 1000 AS beat_ms, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1) SELECT job, beat_ms FROM j WHERE kind <> 'error' AND (SELECT max(epoch_us(ts)) // 1000 FROM events) - beat_ms > 10800000",
     "edge_visibility": f"WITH {_D}, e AS (SELECT min(id) AS a, max(id) AS b FROM d WHERE owner_id IS NOT NULL GROUP BY owner_id, source_type) SELECT a, b FROM e WHERE a < b AND a IN (SELECT id FROM d WHERE is_public) AND b IN (SELECT id FROM d WHERE is_public)",
+    "receipt_checks": """WITH d AS (SELECT doc_id, source, text FROM documents WHERE source IS NOT NULL AND length(text) > 60), f AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END AS text FROM d)
+SELECT CASE WHEN source = 'workspace-hall' THEN 'root_mismatch' WHEN text NOT IN (SELECT text FROM f) THEN 'file_changed' WHEN doc_id % 11 = 0 THEN 'text_changed' ELSE 'ok' END AS status, count(*) AS n FROM d GROUP BY 1""",
     "after_removal": f"WITH k AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0), t AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS term FROM k), n AS (SELECT count(*) AS n FROM k) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, n GROUP BY term",
 }

@@ -219,6 +219,7 @@ SQL = {
     "entity_degree": f"WITH {_MENTIONS}, p AS (SELECT DISTINCT x.name AS a, y.name AS b FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND x.name < y.name) SELECT name, count(*) AS degree FROM (SELECT a AS name FROM p UNION ALL SELECT b FROM p) GROUP BY name",
     "entity_merge": f"WITH {_MENTIONS}, k AS (SELECT *, {_KEY.format('name')} AS key FROM m) SELECT key, arg_min(name, (doc_id, sentence, name)) AS name, count(DISTINCT name) AS forms, count(DISTINCT doc_id) AS documents FROM k GROUP BY key",
     "merkle_leaves": "SELECT doc_id, sha256('\\x00'::BLOB || encode(coalesce(text, ''))) AS leaf FROM documents",
+    "merkle_root": "WITH RECURSIVE l AS (SELECT coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS pos, sha256('\\x00'::BLOB || encode(coalesce(text, ''))) AS h FROM documents), t(source, lvl, pos, h) AS (SELECT source, 0, pos, h FROM l UNION ALL SELECT source, lvl + 1, pos // 2, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(arg_min(h, pos)) || unhex(arg_max(h, pos))) ELSE min(h) END FROM (SELECT *, max(pos) OVER (PARTITION BY source) AS top FROM t) WHERE top > 0 GROUP BY source, lvl, pos // 2) SELECT source, (SELECT count(*) FROM l WHERE l.source = t.source) AS leaves, arg_max(h, lvl) AS root FROM t WHERE pos = 0 GROUP BY source",
     "hash_chain": "WITH RECURSIVE r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY seq) AS n, sha256(concat_ws(chr(10), seq::VARCHAR, source, dedupe, type, coalesce(body, ''))) AS h FROM event_log), c(source, n, hash) AS (SELECT source, n, sha256(repeat('0', 64) || chr(10) || h) FROM r WHERE n = 1 UNION ALL SELECT c.source, r.n, sha256(c.hash || chr(10) || r.h) FROM c JOIN r ON r.source = c.source AND r.n = c.n + 1) SELECT source, max(n) AS n, arg_max(hash, n) AS head FROM c GROUP BY source",
     "chain_findings": "WITH b AS (SELECT source, seq, seq % 100 = 0 AS broken, lag(seq % 100 = 0) OVER (PARTITION BY source ORDER BY seq) AS after FROM event_log) SELECT CASE WHEN after THEN 'link' ELSE 'hash' END AS finding, count(*) AS n FROM b WHERE after OR broken GROUP BY 1",
     "tree_siblings": "WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 8 END AS parent, o_orderdate FROM orders) SELECT id, parent, row_number() OVER w AS place, lag(id) OVER w AS prev, lead(id) OVER w AS next FROM o WINDOW w AS (PARTITION BY parent ORDER BY o_orderdate, id)",
