@@ -9,6 +9,7 @@ from brookloom.functions import cuts, structured, words
 from brookloom.operators import answers as a
 from brookloom.operators import notes as note_ops
 from brookloom.operators import retrieval as r
+from brookloom.plans.log_queries import _SAMPLES
 from brookloom.plans.retrieval_queries import _COS, _QV, _RANK, _TOK, QUERY, _bm25, _T
 from brookloom.plans.text_queries import _KEY, _MENTIONS, _mentions
 from brookloom.session import table
@@ -365,4 +366,10 @@ n AS (SELECT k, s, o, s <> '' AND len(list_filter(string_split(s, ' '), lambda x
 SELECT CASE WHEN k % 5 = 0 THEN 'cite' WHEN s = o THEN 'same' WHEN NOT has_s THEN 'subject' WHEN NOT has_o THEN 'object' END AS reason, count(*) AS n FROM n GROUP BY 1""",
     "named_titles": f"""WITH q AS (SELECT {_tok("'Is the export dialog of the release notes in the risk register?'")} AS q), t AS (SELECT doc_id, list_filter({_tok("regexp_replace(title, '(?i)\\.[a-z0-9]{1,5}$', '')")}, lambda w: length(w) >= 3) AS t FROM documents WHERE title IS NOT NULL)
 SELECT doc_id, true AS named FROM t, q WHERE list_has_any(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(q)), lambda i: q[i] || ' ' || q[i + 1]))""",
+    "graph_edges": f"""WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t, regexp_extract(coalesce(text, ''), '\\p{{Lu}}\\p{{Ll}}+ \\p{{Lu}}\\p{{Ll}}+') AS name, regexp_extract(coalesce(text, ''), '\\p{{Lu}}\\p{{Ll}}+') AS one FROM documents WHERE source IS NOT NULL AND title IS NOT NULL AND doc_id % 5 > 2),
+c AS (SELECT k, string_split({_KEY.format('t')}, ' ') AS w, {_KEY.format('name')} AS s, {_KEY.format('one')} AS o FROM d)
+SELECT s, o, count(*) AS n FROM c WHERE s <> '' AND o <> '' AND s <> o AND len(list_filter(string_split(s, ' '), lambda x: NOT list_contains(w, x))) = 0 AND len(list_filter(string_split(o, ' '), lambda x: NOT list_contains(w, x))) = 0 GROUP BY s, o""",
+    "relevant_feeds": f"""WITH {_SAMPLES}, l AS (SELECT source, series, max(happened) AS happened FROM s GROUP BY 1, 2), p AS (SELECT *, list_distinct(list_transform(list_filter(regexp_split_to_array(series, '[._]') || regexp_split_to_array(source, '[._-]'), lambda x: length(x) >= 3), lambda x: regexp_replace(x, 's$', ''))) AS w FROM l),
+q AS (SELECT source, series, happened, len(list_intersect(w, ['what', 'the', 'pump', 'power', 'and', 'temperature', 'hub', 'say']))::INTEGER AS score FROM p)
+SELECT source, series, score FROM q WHERE score > 0 ORDER BY q.score DESC, happened DESC, source, series LIMIT 6""",
 }

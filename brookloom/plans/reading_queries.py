@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from brookloom.functions import readings as r
 from brookloom.functions import words
+from brookloom.plans.retrieval_queries import _TOK
+from brookloom.plans.text_queries import _FOLD
 from brookloom.session import table
 
 
@@ -186,6 +188,7 @@ SELECT id, md5(left(coalesce(head, nullif(first, ''), 'untitled'), 300)) AS titl
     "series_names": "SELECT DISTINCT 'Plant A/' || event_type || '/u ' || user_id % 20 AS topic, 'plant_a.' || lower(event_type) || '.u_' || user_id % 20 AS series FROM events",
     "greetings": f"""WITH m AS (SELECT DISTINCT ON (id) content AS c FROM chat_history), t AS (SELECT lower(trim(CASE WHEN length(c) % 5 = 0 THEN 'Hello there, ' || left(c, 9) ELSE c END)) AS t FROM m)
 SELECT coalesce(regexp_matches(t, '{r.GREETS}') AND len(list_filter(regexp_extract_all(regexp_replace(t, '{r.GREETS}', ''), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOPS}, w) AND NOT list_contains({_FILL}, w))) = 0, false) AS greets, count(*) AS n FROM t GROUP BY 1""",
+    "content_token_counts": "WITH t AS (SELECT unnest(" + _TOK.replace("text", "regexp_replace(text, '(?i)\\[(?:doc|dok|dokument|document|source|quelle)\\s*:[^\\]\\n]{1,300}\\]', ' ', 'g')") + ") AS w FROM documents), f AS (SELECT " + _FOLD.format("w") + " AS token FROM t) SELECT token, count(*) AS n FROM f WHERE token NOT IN (" + ", ".join(f"'{w}'" for w in BOILERPLATE) + ") AND NOT regexp_matches(token, '\\p{N}') GROUP BY token",
     "disallowed_characters": "WITH d AS (SELECT regexp_extract(text, '" + r.disallowed().replace("'", "''") + "') AS sign FROM documents) SELECT sign, count(*) AS n FROM d WHERE sign <> '' GROUP BY sign",
     "browsers": "SELECT CASE user_id % 4 WHEN 0 THEN 'Edge 126' WHEN 1 THEN 'Firefox 127' WHEN 2 THEN 'Safari 17' ELSE 'unknown' END AS browser, count(*) AS n FROM events GROUP BY 1",
 }
