@@ -17,19 +17,28 @@ from brookloom.operators.sequences import folded
 # --- columns ----------------------------------------------------------------------------------------------------------------------
 
 
+#: Pattern and replacement, in order: invisible characters, line ends, marks at line starts, emphasis, blanks, quotation marks, dashes, blanks
+#: at line ends.
+CANONICAL = (
+    (r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]", ""),
+    (r"\r\n?", "\n"),
+    (r"(?m)^[ \t]{0,3}(?:#{1,6}|>|[-*+]|\d{1,3}[.)])[ \t]+", ""),
+    (r"\*\*([^*\n]+)\*\*", "$1"),
+    (r"__([^_\n]+)__", "$1"),
+    (r"\*([^*\n]+)\*", "$1"),
+    (r"\b_([^_\n]+)_\b", "$1"),
+    (r"`([^`\n]+)`", "$1"),
+    (r"[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\t ]+", " "),
+    ("[‘’‚‛]", "'"),
+    ("[“”„‟«»]", '"'),
+    ("[‐‑‒–—]", "-"),
+    (r" *\n *", "\n"),
+)
+
+
 def canonical_text(text: Column) -> Column:
     """Marks of Markdown and invisible characters off, quotation marks and dashes unified, white space single; lines stay."""
-    for rx, to in (
-        (r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]", ""),
-        (r"\r\n?", "\n"),
-        (r"(?m)^\s{0,3}(?:#{1,6}|>|[-*+]|\d{1,3}[.)])\s+", ""),
-        (r"(\*\*|__|\*|_|`)(\S(?:[^\n]*?\S)?)\1", "$2"),
-        (r"[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\t ]+", " "),
-        ("[‘’‚‛]", "'"),
-        ("[“”„‟«»]", '"'),
-        ("[‐‑‒–—]", "-"),
-        (r" *\n *", "\n"),
-    ):
+    for rx, to in CANONICAL:
         text = F.regexp_replace(text, rx, to)
     return F.trim(text)
 

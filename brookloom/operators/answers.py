@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookloom.functions import words
+from brookloom.operators.sequences import folded
 
 # How labels begin and name their chunk.
 HEAD = r"(?:doc|dok|dokument|document|source|quelle)"
@@ -76,13 +77,13 @@ def sentence_list(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s) != "")
 
 
-def scored_sentences(text: Column, terms: list[str]) -> Column:
+def scored_sentences(text: Column, terms: list[str] | Column) -> Column:
     """(score, order, text) of the sentences: how many of the terms each holds."""
-    want = F.array(*[F.lit(t) for t in terms])
+    want = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms])
     return F.transform(sentence_list(text), lambda s, i: F.struct(F.size(F.array_intersect(words.tokens(s), want)).alias("score"), i.alias("order"), F.trim(s).alias("text")))
 
 
-def query_ranges(text: Column, terms: list[str]) -> Column:
+def query_ranges(text: Column, terms: list[str] | Column) -> Column:
     """The sentences with most terms first, those without any last, each group in the order of the text."""
     ranked = F.array_sort(F.transform(scored_sentences(text, terms), lambda s: F.struct((-s["score"]).alias("less"), s["order"].alias("order"), s["text"].alias("text"))))
     return F.transform(ranked, lambda s: s["text"])
@@ -120,6 +121,52 @@ def delivered(context: Column, label: Column, text: Column) -> Column:
     return F.when((at == 0) | (F.trim(body) == ""), "omitted").when(body == text, "full").otherwise("partial")
 
 
+#: Room of a context by the size of the model that reads it: characters in all, in one passage, and passages.
+PACKS = {"small": (2_400, 700, 4), "mid": (8_000, 1_600, 8), "large": (24_000, 3_000, 16)}
+LEAST = 120
+
+
+def pack_size(context_tokens: int) -> str:
+    return "small" if context_tokens < 6_000 else "mid" if context_tokens < 24_000 else "large"
+
+
+def fence_free(text: str) -> str:
+    """No run of angle or square brackets that could be read as a mark of the pack."""
+    return re.sub(r"\]{2,}", "]", re.sub(r"\[{2,}", "[", re.sub(r"<{2,}", "<", re.sub(r">{2,}", ">", text))))
+
+
+def packed(hits: DataFrame, key: str, rank: str, text: str, ranges: str, size: str = "mid", most_chars: int | None = None) -> DataFrame:
+    """(key, rank, label, delivered, line) of ranked hits with their sentences in the order of their fit (``ranges``, see ``query_ranges``): each passage
+    gets the sentences that fit into what is left, in the order of its text; full, partial or omitted is said of every hit. A passage of which
+    less than LEAST characters would fit is omitted, and later ones may still fit."""
+    total, each, passages = PACKS[size]
+    total = min(total, most_chars) if most_chars is not None else total
+
+    def step(state: tuple, r: tuple) -> tuple:
+        left, n = state
+        place, body, sentences = r
+        body = body or ""
+        head = f"[S{n + 1}] "
+        room = min(each, left - len(head) - 1)
+        if n >= passages or room < min(LEAST, len(body)) or not body.strip():
+            return state, (place, None, "omitted", None)
+        if len(body) <= room:
+            excerpt, how = body, "full"
+        else:
+            chosen, used = set(), 0
+            for s in sentences if sentences is not None else ():
+                if used + len(s) + 1 <= room:
+                    chosen.add(s)
+                    used += len(s) + 1
+            kept = sorted(chosen, key=body.find)
+            excerpt, how = " ".join(kept) if kept else body[:room], "partial"
+        line = head + fence_free(excerpt)
+        return (left - len(line) - 1, n + 1), (place, head.strip(), how, line)
+
+    kind = hits.schema[rank].dataType.simpleString()
+    return folded(hits, key, rank, lambda: (total, 0), step, [text, ranges], f"{rank} {kind}, label string, delivered string, line string")
+
+
 # --- routes and sources -----------------------------------------------------------------------------------------------------------
 
 

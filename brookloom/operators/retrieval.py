@@ -127,6 +127,20 @@ def search(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     return hits.join(F.broadcast(freq), "term").crossJoin(F.broadcast(stats)).groupBy(index.id_col).agg(F.sum(part).alias("score"))  # one row
 
 
+def search_many(index: Index, questions: DataFrame, k: int, key: str = "id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """(key, id, score, rank): the ``k`` best units for every question. Questions meet postings by term in one join, scores are summed before any
+    ranking, and rankings keep ``k`` rows before they are exchanged."""
+    asked = questions.select(F.col(key).alias("_q"), F.explode(F.array_distinct(words.tokens(F.col(text)))).alias("term"))
+    stats = index.lengths.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("_avg"))
+    freq = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    average = F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0)
+    part = idf(F.col("_n"), F.col("_df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
+    weighed = asked.join(freq, "term").crossJoin(F.broadcast(stats)).join(index.postings, "term")  # stats is one row
+    scored = weighed.groupBy("_q", index.id_col).agg(F.sum(part).alias("score"))
+    best = Window.partitionBy("_q").orderBy(F.desc(F.round("score", 9)), index.id_col)  # equal units add up in any order
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumnRenamed("_q", key)
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------------------
 
 

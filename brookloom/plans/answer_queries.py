@@ -89,6 +89,24 @@ def extracted_answer(spark, sf_dir):
     return a.extracted_answer(hits, TERMS, 8).select("place", "label", "score", F.md5("sentence").alias("sentence"))
 
 
+def many_questions(spark, sf_dir):
+    """The three best documents for every evaluation question."""
+    index = r.indexed(_docs(spark, sf_dir))
+    best = r.search_many(index, table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), F.col("question").alias("text")), 3)
+    return best.select("id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def context_packs(spark, sf_dir):
+    """Contexts for every evaluation question: how much of its five best documents each delivers."""
+    docs = _docs(spark, sf_dir)
+    items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "question")
+    best = r.search_many(r.indexed(docs), items.withColumnRenamed("question", "text"), 5)
+    hits = best.join(docs.select("doc_id", "text"), "doc_id").join(items, "id")
+    ranges = a.query_ranges(F.col("text"), F.array_distinct(words.tokens(F.col("question"))))
+    p = a.packed(hits.withColumn("ranges", ranges), "id", "rank", "text", "ranges", "small")
+    return p.groupBy("delivered").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("line")).alias("longest"))
+
+
 def context_coverage(spark, sf_dir):
     """What a context of three texts and a budget of 500 characters delivers of each."""
     d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.regexp_replace("text", "[<>]", " ").alias("text"))
@@ -318,7 +336,7 @@ b(document_id, o, n, c, batch) AS (SELECT document_id, o, 1, c, 0 FROM c WHERE o
  FROM b JOIN c ON c.document_id = b.document_id AND c.o = b.o + 1)
 SELECT document_id, o::INTEGER AS "order", batch::BIGINT AS batch FROM b"""
 
-QUERIES = {f.__name__: f for f in (label_parts, label_sources, expanded_labels, nearest_citation, adjacent_rows, query_ranges, premises, extracted_answer, context_coverage, named_titles, routes, gathered_sources, relevant_feeds, conversation_search, filtered_after_search, head_chunks, merged_web, web_segments, fuzzy_tokens, title_overlap, clause_alignment, triple_reasons, graph_edges, chunk_batches, top_phrases, or_query, union_of_lists, defect_summary, best_per_note, conversation_list, healthy_first, hybrid_25, fired_items, rollback_findings, canonical_metadata)}
+QUERIES = {f.__name__: f for f in (label_parts, label_sources, expanded_labels, nearest_citation, adjacent_rows, query_ranges, premises, extracted_answer, many_questions, context_packs, context_coverage, named_titles, routes, gathered_sources, relevant_feeds, conversation_search, filtered_after_search, head_chunks, merged_web, web_segments, fuzzy_tokens, title_overlap, clause_alignment, triple_reasons, graph_edges, chunk_batches, top_phrases, or_query, union_of_lists, defect_summary, best_per_note, conversation_list, healthy_first, hybrid_25, fired_items, rollback_findings, canonical_metadata)}
 SQL = {
     "label_parts": f"WITH {_L} SELECT lower(doc) AS doc, chunk, count(*) AS n FROM q GROUP BY ALL",
     "expanded_labels": "SELECT doc_id, left(coalesce(title, ''), 20) || CASE WHEN doc_id % 2 = 0 THEN ' [Doc: ' || coalesce(source, 'x') || ', Chunk: 2][Doc: one.md, Chunk: 1][S3]' ELSE ' [Doc: one.md, Chunk: 1][S9]' END AS text FROM documents",
@@ -372,4 +390,8 @@ SELECT s, o, count(*) AS n FROM c WHERE s <> '' AND o <> '' AND s <> o AND len(l
     "relevant_feeds": f"""WITH {_SAMPLES}, l AS (SELECT source, series, max(happened) AS happened FROM s GROUP BY 1, 2), p AS (SELECT *, list_distinct(list_transform(list_filter(regexp_split_to_array(series, '[._]') || regexp_split_to_array(source, '[._-]'), lambda x: length(x) >= 3), lambda x: regexp_replace(x, 's$', ''))) AS w FROM l),
 q AS (SELECT source, series, happened, len(list_intersect(w, ['what', 'the', 'pump', 'power', 'and', 'temperature', 'hub', 'say']))::INTEGER AS score FROM p)
 SELECT source, series, score FROM q WHERE score > 0 ORDER BY q.score DESC, happened DESC, source, series LIMIT 6""",
+    "many_questions": f"""WITH {_T}, s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t), p AS (SELECT doc_id, len(toks) AS l, term, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS term FROM t) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT item_id AS id, unnest(list_distinct({_tok('question')})) AS term FROM eval_items),
+h AS (SELECT id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avgdl))) AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY id, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM h) SELECT id, doc_id, rank, round(score, 6) AS score FROM k WHERE rank <= 3""",
 }

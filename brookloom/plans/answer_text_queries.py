@@ -84,12 +84,16 @@ def carried_values(spark, sf_dir):
     return a.carried_values(s, ["doc_id"], "pos", "amounts").filter("carried is not null").select("doc_id", "pos", "carried")
 
 
+_CANON = "text"
+for _rx, _to in a.CANONICAL:
+    _CANON = "regexp_replace({}, '{}', '{}', 'g')".format(_CANON, _rx.replace("'", "''"), _to.replace("$1", "\\1").replace("'", "''"))
 _SPOKEN = "coalesce(text, '')"
 for _short, _long in a.SPOKEN.items():
     _SPOKEN = f"replace({_SPOKEN}, '{_short}', '{_long}')"
 
 QUERIES = {f.__name__: f for f in (canonical_texts, blanked_labels, label_places, personal_kinds, spoken_forms, text_blocks, published_sections, incremental_run, projection_replay, service_states, carried_values)}
 SQL = {
+    "canonical_texts": f"SELECT doc_id, md5(trim({_CANON})) AS text FROM documents",
     "blanked_labels": "SELECT doc_id, length(text)::INTEGER AS chars, CASE WHEN text IS NULL THEN -1 ELSE 0 END AS labels, (length(text) - length(replace(text, '[', '')))::INTEGER AS brackets FROM documents",
     "label_places": "WITH p AS (SELECT doc_id, left(text, instr(text, '[Doc:') - 1) AS h FROM documents WHERE instr(text, '[Doc:') > 0) SELECT doc_id, (length(h) - length(replace(h, chr(10), '')) + 1)::INTEGER AS line, (length(string_split(h, chr(10))[-1]) + 1)::INTEGER AS \"column\" FROM p",
     "spoken_forms": f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace({_SPOKEN}, ' {{2,}}', ' ', 'g') AS o FROM documents) SELECT doc_id, md5(CASE WHEN regexp_replace(o, '\\D', '', 'g') = regexp_replace(t, '\\D', '', 'g') THEN o ELSE t END) AS text FROM s",

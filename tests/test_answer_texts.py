@@ -47,3 +47,15 @@ def test_extraction_and_segments(spark):
     merged = o.merged_answers(web.filter("trim(text) <> ''"), "grp", "pos")
     seg = sorted((x.start, x.end, x.sources) for x in o.shifted_segments(web, merged, "grp", "pos").collect())
     assert seg == [(0, 2, [1]), (2, 4, [2]), (7, 9, [2])]
+
+
+def test_packs(spark):
+    long = "Alpha is one. " * 40 + "The budget is 5. " + "Beta is two. " * 40
+    rows = [("q", 1, "short text", ["short text"]), ("q", 2, long, ["The budget is 5.", *["Alpha is one."] * 40]), ("q", 3, None, None), ("q", 4, "x" * 900, ["x" * 900]), ("q", 5, "y" * 900, ["y" * 900]), ("z", 1, "<<<a>>> [[b]]", ["a"])]
+    df = spark.createDataFrame(rows, "id string, rank int, text string, ranges array<string>")
+    got = {(r.id, r["rank"]): (r.label, r.delivered, r.line) for r in o.packed(df, "id", "rank", "text", "ranges", "small", 1000).collect()}
+    assert got["q", 1] == ("[S1]", "full", "[S1] short text") and got["q", 3] == (None, "omitted", None)
+    assert got["q", 2][1] == "partial" and "The budget is 5." in got["q", 2][2] and len(got["q", 2][2]) <= 710
+    assert got["q", 4][:2] == ("[S3]", "partial") and got["z", 1][2] == "[S1] <a> [b]"
+    assert sum(len(v[2]) + 1 for k, v in got.items() if k[0] == "q" and v[2]) <= 1000
+    assert [o.pack_size(n) for n in (2_000, 8_000, 100_000)] == ["small", "mid", "large"]
