@@ -7,8 +7,8 @@ overlapping matches the first and longest counts. Only matched spans are replace
 What keeps correct text safe:
 * a span with Cyrillic, Greek or box-drawing characters counts only when no neighbour outside any span is of that same script
   (a Ukrainian or Greek word, a drawn table); one of box-drawing characters alone needs a letter beside it or another match;
-* sequences of rare characters (``weak``: Latin Extended, Greek, Cyrillic, arrows, pictographs) count when they have three
-  characters or a second match of the same decoder stands in the text;
+* sequences of rare characters (``weak``: Latin Extended, Vietnamese, Greek, Cyrillic, small figures, currencies, arrows, pictographs) count when they have three
+  characters, hold a sign amid the letters of a word, or a second match of the same decoder stands in the text;
 * control characters U+0080-U+009F never occur in correct text, except U+0085 (next line); they are Windows-1252 bytes read as
   Latin-1. U+FFFD marks lost characters: the record is reported, the character stays.
 
@@ -48,7 +48,7 @@ def strong_characters() -> list[str]:
 
 
 def weak_characters() -> list[str]:
-    return [c for c in _range((0x100, 0x17F), (0x391, 0x3C9), (0x401, 0x45F), (0x2190, 0x21FF), (0x2200, 0x22FF), (0x25A0, 0x27BF), (0x1F300, 0x1F6FF)) if c not in set(strong_characters())]
+    return [c for c in _range((0x100, 0x24F), (0x391, 0x3C9), (0x401, 0x45F), (0x1E00, 0x1EFF), (0x2031, 0x205E), (0x2070, 0x209C), (0x20A0, 0x20BF), (0x2100, 0x21FF), (0x2200, 0x22FF), (0x25A0, 0x27BF), (0x1F300, 0x1F6FF), (0x1F900, 0x1F9FF)) if c not in set(strong_characters())]
 
 
 @lru_cache(maxsize=None)
@@ -134,6 +134,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     def drawn(a: int, b: int, seq: str) -> bool:
         return all(_script(c) == "box" for c in seq) and not any(c.isalpha() for c in beside(a, b)) and not inside & {a - 1, b}
 
+    def inner(a: int, b: int, seq: str) -> bool:
+        return any(not c.isalnum() for c in seq) and a > 0 and b < len(text) and text[a - 1].isalpha() and text[b].islower()
+
     kept = [h for h in kept if not native(*h)]
     votes = Counter(d for h in kept if not drawn(*h) for d in table[h[2]][0])
     kept = [h for h in kept if not drawn(*h) or any(votes[d] for d in table[h[2]][0])]
@@ -145,7 +148,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     for a, b, seq in kept:
         choices, strong = table.get(seq, ({"cp1252": "à"}, True))
         best = max(choices, key=lambda d: (votes[d], -DECODERS.index(d)))
-        if strong or len(seq) >= 3 or votes[best] > 1:
+        if strong or len(seq) >= 3 or votes[best] > 1 or inner(a, b, seq):
             out.append((a, b, choices[best]))
     return out
 

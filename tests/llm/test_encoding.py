@@ -37,3 +37,13 @@ def test_frame(spark):
     got = garbled(rows).collect()
     assert sorted((r.doc_id, r.restored, len(r.text)) for r in got) == [(1, 1, 3), (5, 1, 1), (5, 1, 300001)]
     assert garbled(rows.limit(0)).count() == 0
+
+
+def test_wider_repertoire():
+    from brookloom.llm import encoding as e
+
+    for text in ("Tiếng Việt rất khó", "Știință și țară", "CO₂ und H₂O", "Gdańsk", "cost ₹500 ₺20", "a 🤔 b"):
+        for d in ("cp1252", "latin-1", "cp850"):
+            assert e.restore(e.garble(text, d))[0] == text, (text, d)
+    for text in ("Gdańsk", "Tiếng Việt", "H₂O ┌──┐", "„Å“ is a letter", "Україна «об’єкт»", "x™ Å– y"):
+        assert e.restore(text)[1] == 0, text
