@@ -115,7 +115,8 @@ def _alike(own: Clause, e: Evidence) -> list[Clause]:
 
 
 def relations(statement: str, e: Evidence) -> list[str]:
-    """negation, direction, comparison, order: where all source clauses that speak of the same say the opposite."""
+    """negation, direction, comparison, order: where all source clauses that speak of the same say the opposite; misplaced_value: where they have another
+    value and the statement's belongs to something else."""
     out = []
     for own in clauses(statement):
         others = _alike(own, e)
@@ -127,6 +128,11 @@ def relations(statement: str, e: Evidence) -> list[str]:
             mine = getattr(own, kind)
             if mine and all(getattr(c, kind) == -mine and c.negated == own.negated for c in others):
                 out.append({"rise": "direction", "more": "comparison", "time": "order"}[kind])
+        # a value that the sources give to something else, while what the clause speaks of has another one of its kind
+        for key in own.keys:
+            holders = [c for c in e.clauses if key in c.keys]
+            if holders and not any(key in c.keys for c in others) and any(k[:2] == key[:2] for c in others for k in c.keys) and max(len(own.words & c.words) for c in holders) < FORWARD * len(own.words):
+                out.append("misplaced_value")
     return list(dict.fromkeys(out))
 
 

@@ -1,7 +1,7 @@
 """Facts in statements: quotations, versions, dates, times, codes and numbers with canonical keys, so that a claim and a source
 meet by an equi-join on keys.
 
-Keys: ``q:words`` ``v:4.2.1`` ``d:2026-08-28`` ``d:--08-28`` ``m:2026-08`` ``t:14:30`` ``c:qx12`` ``n:480000``. Earlier kinds mask
+Keys: ``q:words`` ``v:4.2.1`` ``d:2026-08-28`` ``d:--08-28`` ``m:2026-08`` ``m:--08`` ``w:1`` (Monday) ``t:14:30`` ``c:qx12`` ``n:480000``. Earlier kinds mask
 their span for later ones. A number whose separator precedes exactly three digits has two readings; a claim takes the likelier one
 (thousands), a source offers both.
 """
@@ -33,7 +33,21 @@ _DATES = (
     (re.compile(rf"\b({_M})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", re.I), "Mdy"),
     (re.compile(rf"\b({_M})\s+(?:de\s+)?(\d{{4}})\b", re.I), "My"),
     (re.compile(rf"\b(\d{{1,2}})\.?\s+(?:de\s+)?({_M})\b", re.I), "dM"),
+    (re.compile(rf"\b({_M})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?!\s*[:.]\d)", re.I), "Md"),
+    (re.compile(r"(?<![\d/])(\d{1,2})/(\d{1,2})/(\d{4})(?![\d/])"), "xx"),
+    (re.compile(r"(?<![\d/])(\d{1,2})/(\d{4})(?![\d/])"), "mY"),
+    (re.compile(r"(?<![\d.,])(\d{1,2})\.(\d{1,2})\.(?!\d)"), "dm"),
 )
+_HOUR = re.compile(r"\b([01]?\d|2[0-4])\s+(?:Uhr|o'clock)\b", re.I)
+WEEKDAYS = (
+    "monday tuesday wednesday thursday friday saturday sunday", "montag dienstag mittwoch donnerstag freitag samstag sonntag",
+    "lundi mardi mercredi jeudi vendredi samedi dimanche", "lunes martes miércoles jueves viernes sábado domingo",
+)
+_DAY = {w: i + 1 for names in WEEKDAYS for i, w in enumerate(names.split())}
+_DAYS = re.compile(r"\b(" + "|".join(sorted(_DAY, key=len, reverse=True)) + r")s?\b", re.I)
+_ANY_MONTH = re.compile(rf"\b({_M})\b", re.I)
+#: A month by itself claims something after such a word only: "may" is mostly no month.
+_IN_MONTH = re.compile(rf"\b(?:in|since|until|by|from|early|late|im|seit|bis|ab|anfang|ende|en|depuis|desde|hasta)\s+({_M})\b", re.I)
 _TIME = re.compile(r"\b([01]?\d|2[0-3])[:h]([0-5]\d)\b(?:\s*(am|pm))?|\b(1[0-2]|0?[1-9])(?:\.([0-5]\d))?\s*(am|pm)\b", re.I)
 _CODE = re.compile(r"\b[A-Z]{1,4}-?\d{1,6}\b")
 _NUMBER = re.compile(r"(?<![\w.,])[-−]?\d+(?:[.,  ]\d{3})*(?:[.,]\d+)?(?![\w])")
@@ -68,6 +82,15 @@ def _valid(y: int, m: int, d: int) -> bool:
     return 1 <= m <= 12 and 1 <= d <= (29 if m == 2 and (y == 0 or y % 4 == 0 and (y % 100 or y % 400 == 0)) else [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m - 1])
 
 
+def _date_keys(kind: str, g: tuple[str, ...]) -> list[str | None]:
+    """The readings of a date: two where day and month could be either."""
+    if kind == "xx":
+        return list(dict.fromkeys([_date_key("dmy", g), _date_key("dmy", (g[1], g[0], g[2]))]))
+    if kind == "mY":
+        return [f"m:{int(g[1]):04}-{int(g[0]):02}" if 1 <= int(g[0]) <= 12 else None]
+    return [_date_key(kind, g)]
+
+
 def _date_key(kind: str, g: tuple[str, ...]) -> str | None:
     name = lambda w: _MONTH[w.lower()]
     y, m, d = {
@@ -77,6 +100,8 @@ def _date_key(kind: str, g: tuple[str, ...]) -> str | None:
         "Mdy": lambda: (int(g[2]), name(g[0]), int(g[1])),
         "My": lambda: (int(g[1]), name(g[0]), 0),
         "dM": lambda: (0, name(g[1]), int(g[0])),
+        "Md": lambda: (0, name(g[0]), int(g[1])),
+        "dm": lambda: (0, int(g[1]), int(g[0])),
     }[kind]()
     if kind == "My":
         return f"m:{y:04}-{m:02}"
@@ -108,17 +133,26 @@ def facts(text: str, source: bool = False) -> list[tuple[str, str, int, int, lis
                 put(kind_of, *m.span(), ["v:" + m.group()])
     for rx, kind in _DATES:
         for m in rx.finditer("".join(hidden)):
-            key = _date_key(kind, m.groups())
-            if key:
-                keys = [key]
+            found = [k for k in _date_keys(kind, m.groups()) if k]
+            if found:
+                key, keys = found[0], found if source else found[:2]
                 year = re.match(r"[dm]:(\d{4})", key)
                 if source and year:
-                    keys += ["n:" + str(int(year.group(1)))] + ([f"d:--{key[7:]}", f"m:{key[2:9]}"] if key[0] == "d" else [])
+                    keys = keys + ["n:" + str(int(year.group(1)))] + ([f"d:--{key[7:]}", f"m:{key[2:9]}"] if key[0] == "d" else [])
+                if source:
+                    month = re.match(r"(?:d|m):(?:\d{4}|-)-(\d\d)", key)
+                    keys = keys + ([f"m:--{month.group(1)}"] if month else [])
                 put("date", *m.span(), keys)
     for m in _TIME.finditer("".join(hidden)):
         h, mi, half = (m.group(1), m.group(2), m.group(3)) if m.group(1) else (m.group(4), m.group(5) or "00", m.group(6))
         hour = int(h) % 12 + (12 if half.lower() == "pm" else 0) if half else int(h)
         put("time", *m.span(), [f"t:{hour:02}:{mi}"] + ([number_key(float(hour))] if source else []))
+    for m in _HOUR.finditer("".join(hidden)):
+        put("time", *m.span(), [f"t:{int(m.group(1)) % 24:02}:00"] + ([number_key(float(m.group(1)))] if source else []))
+    for m in _DAYS.finditer("".join(hidden)):
+        put("weekday", *m.span(), [f"w:{_DAY[m.group(1).lower()]}"])
+    for m in (_ANY_MONTH if source else _IN_MONTH).finditer("".join(hidden)):
+        put("month", *m.span(1), [f"m:--{_MONTH[m.group(1).lower()]:02}"])
     for m in _CODE.finditer("".join(hidden)):
         put("code", *m.span(), ["c:" + m.group().lower().replace("-", "")])
     plain = "".join(hidden)

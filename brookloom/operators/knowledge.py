@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +107,29 @@ def search(docs: DataFrame, sections: DataFrame, terms: list[str], limit: int =
     return out.orderBy(F.desc("score"), "title", "section_index", "document_id").limit(max(1, min(limit, 20))).drop("strict", "has_all")
 
 
+def websearch(text: Column, query: str) -> Column:
+    """Whether a text fits a query as people type it: all words, "phrases" word by word, one side of an or, and none of the -excluded words or
+    phrases. Words count as they are; function words outside phrases don't count. A query without words fits nothing."""
+    all_words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(words.WORD), F.lit(0))
+    line = F.concat(F.lit(" "), F.array_join(all_words, " "), F.lit(" "))
+    sides: list[Column] = []
+    current: list[Column] = []
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
+        if word.lower() == "or" and not minus:
+            if current:
+                sides.append(reduce(lambda x, y: x & y, current))
+            current = []
+            continue
+        own = re.findall(r"[^\W_]+", (phrase or word).lower())
+        if not own or (not phrase and own[0] in words.STOP_SEARCH):
+            continue
+        hit = line.contains(" " + " ".join(own) + " ")
+        current.append(~hit if minus else hit)
+    if current:
+        sides.append(reduce(lambda x, y: x & y, current))
+    return reduce(lambda x, y: x | y, sides) if sides else F.lit(False)
+
+
 # --- chunks -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -182,6 +182,19 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
     return top(out, k, id_col, "similarity")
 
 
+def clamped(n: int | None, default: int, least: int, most: int) -> int:
+    return max(least, min(default if n is None else n, most))
+
+
+def nearest_of_model(vectors: DataFrame, query: list[float], k: int | None, dim: int, id_col: str = "vec_id", only: Column | None = None) -> DataFrame:
+    """(id, similarity) among vectors of the model's dimension, 1 to 20 of them (5 unless said), if need be only where a condition holds. A query of
+    another dimension is an error, vectors of another one are not compared."""
+    if len(query) != dim:
+        raise ValueError(f"the query has {len(query)} numbers, the model {dim}")
+    rows = vectors.filter(F.size("embedding") == dim)
+    return nearest(rows if only is None else rows.filter(only), query, clamped(k, 5, 1, 20), id_col)
+
+
 # --- fusion -----------------------------------------------------------------------------------------------------------------------
 
 

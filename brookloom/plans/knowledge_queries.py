@@ -67,6 +67,11 @@ def fts_strict_or_shared(spark, sf_dir):
     return out.select("section_id", "document_id", "title", "section_index", "is_section", "shared", F.round("score", 6).alias("score"))
 
 
+def websearch_matches(spark, sf_dir):
+    """Sections that fit a query with a phrase, an exclusion and an alternative."""
+    return _sections(spark, sf_dir).filter(k.websearch(F.col("markdown_content"), 'budget "of the" -council or "works council" -vertrag')).select("id")
+
+
 def union_candidates(spark, sf_dir):
     """Distinct union of the sections that two searches propose."""
     s = _sections(spark, sf_dir).select("id", k.lexemes(F.col("markdown_content")).alias("w"))
@@ -134,7 +139,7 @@ _LEX = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[
 _WANT = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 _COS = "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))"
 
-QUERIES = {f.__name__: f for f in (inner_join_titles, lateral_first_section, semi_visible, anti_without_sections, list_documents, document_with_sections, recent_knowledge, keyset_page, section_payload, fts_strict_or_shared, union_candidates, union_all_hits, intersect_terms, array_except_stopwords, vector_search, sections_per_document, tags_count, sha256_dups, chunk_context, exploded_payload)}
+QUERIES = {f.__name__: f for f in (inner_join_titles, lateral_first_section, semi_visible, anti_without_sections, list_documents, document_with_sections, recent_knowledge, keyset_page, section_payload, fts_strict_or_shared, websearch_matches, union_candidates, union_all_hits, intersect_terms, array_except_stopwords, vector_search, sections_per_document, tags_count, sha256_dups, chunk_context, exploded_payload)}
 SQL = {
     "inner_join_titles": f"WITH {_D}, {_S} SELECT s.id, title, source_type, section_index, heading FROM s JOIN d ON d.id = document_id",
     "lateral_first_section": f"WITH {_D}, {_S}, {_F} SELECT d.id, title, f.id AS section_id, heading, section_index FROM d LEFT JOIN f ON f.document_id = d.id",
@@ -152,6 +157,7 @@ h AS (SELECT * FROM sh WHERE shared > 0 UNION ALL SELECT * FROM dh WHERE shared
 c AS (SELECT h.*, CASE WHEN strict THEN 1.0 ELSE shared + shared / (4.0 + shared) END AS score FROM h, m WHERE CASE WHEN strict THEN shared = 4 ELSE shared >= 2 AND (is_section OR section_id IS NULL) END)
 SELECT section_id, document_id, title, section_index, is_section, shared, round(score, 6) AS score FROM c
 WHERE is_section OR NOT EXISTS (SELECT 1 FROM c x WHERE x.is_section AND x.document_id = c.document_id) ORDER BY c.score DESC, title, section_index, document_id LIMIT 20""",
+    "websearch_matches": f"WITH {_S}, l AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(markdown_content, '')), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS l FROM s) SELECT id FROM l WHERE (contains(l, ' budget ') AND contains(l, ' of the ') AND NOT contains(l, ' council ')) OR (contains(l, ' works council ') AND NOT contains(l, ' vertrag '))",
     "union_candidates": f"WITH {_S}, w AS (SELECT id, {_LEX.format('markdown_content')} AS w FROM s) SELECT id FROM w WHERE list_contains(w, 'budget') UNION SELECT id FROM w WHERE list_contains(w, 'council')",
     "union_all_hits": f"WITH {_D}, {_S} SELECT id, 'section' AS kind, length(markdown_content)::INTEGER AS chars FROM s UNION ALL SELECT id, 'document', length(raw_content)::INTEGER FROM d",
     "intersect_terms": f"WITH {_S}, w AS (SELECT id, len(list_intersect({_LEX.format('markdown_content')}, {_WANT}))::INTEGER AS shared FROM s) SELECT * FROM w WHERE shared > 0",

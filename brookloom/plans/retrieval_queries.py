@@ -67,6 +67,11 @@ def cosine_topk(spark, sf_dir):
     return r.nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10).select("vec_id", _r6("similarity"))
 
 
+def model_search(spark, sf_dir):
+    """The most similar vectors of one label, no more than twenty however many are asked for."""
+    return r.nearest_of_model(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 500, 64, only=F.col("label") < 5).select("vec_id", _r6("similarity"))
+
+
 def cosine_threshold(spark, sf_dir):
     return r.nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 50, threshold=0.2).select("vec_id", _r6("similarity"))
 
@@ -145,7 +150,7 @@ _PROBE = f"""WITH {_T}, {_bm25("h", QUERY)}, x AS (SELECT sum(ln(1 + (n - df + 0
 b AS (SELECT score AS best, m FROM h ORDER BY score DESC, doc_id LIMIT 1), c AS (SELECT count(*) AS hits FROM h),
 p AS (SELECT least(1.0, best / total) AS score, m / terms AS coverage, m::INTEGER AS matched, terms::INTEGER AS terms, hits FROM x, b, c)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_indexed, bm25_filtered, bm25_prefix, tf_postings, df_idf, corpus_stats, cosine_topk, cosine_threshold, int8_quantize, int8_cosine_topk, rrf_fusion, hybrid_topk, probe, probe_route, local_rank, merge_hits)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_indexed, bm25_filtered, bm25_prefix, tf_postings, df_idf, corpus_stats, cosine_topk, model_search, cosine_threshold, int8_quantize, int8_cosine_topk, rrf_fusion, hybrid_topk, probe, probe_route, local_rank, merge_hits)}
 SQL = {
     "bm25_topk": f"WITH {_T}, {_bm25('h', QUERY)} SELECT doc_id, round(score, 6) AS score, matched FROM h ORDER BY h.score DESC, doc_id LIMIT 20",
     "bm25_indexed": f"WITH {_T}, {_bm25('h', QUERY)} SELECT doc_id, round(score, 6) AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 20",
@@ -155,6 +160,7 @@ SQL = {
     "df_idf": f"WITH {_T}, n AS (SELECT count(*) AS n FROM t), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(toks) AS term FROM t) GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d, n",
     "corpus_stats": f"WITH {_T} SELECT count(*) AS n, sum(len(toks))::BIGINT AS total, round(avg(len(toks)), 6) AS avgdl FROM t",
     "cosine_topk": f"WITH {_QV} SELECT vec_id, round({_COS}, 6) AS similarity FROM embeddings, qv ORDER BY {_COS} DESC, vec_id LIMIT 10",
+    "model_search": f"WITH {_QV} SELECT vec_id, round({_COS}, 6) AS similarity FROM embeddings, qv WHERE label < 5 ORDER BY {_COS} DESC, vec_id LIMIT 20",
     "cosine_threshold": f"WITH {_QV} SELECT vec_id, round({_COS}, 6) AS similarity FROM embeddings, qv WHERE {_COS} > 0.2 ORDER BY {_COS} DESC, vec_id LIMIT 50",
     "int8_quantize": f"WITH {_QUANT} SELECT vec_id, round(scale, 9) AS scale, list_sum(data)::BIGINT AS total, list_max(data) AS most, list_min(data) AS least FROM i",
     "int8_cosine_topk": f"WITH {_QV}, {_QUANT}, e AS (SELECT vec_id, list_transform(data, lambda x: x * scale) AS embedding FROM i) SELECT vec_id, round({_COS}, 6) AS similarity FROM e, qv ORDER BY {_COS} DESC, vec_id LIMIT 10",

@@ -135,6 +135,20 @@ def entity_degree(spark, sf_dir):
     return p.select(F.col("a").alias("name")).unionAll(p.select(F.col("b").alias("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def weighted_degree(spark, sf_dir):
+    """Names by the weight of their links: 2 where they stand in one sentence of several documents, 1 where in one only."""
+    p = _pairs(spark, sf_dir).groupBy("a", "b").agg(F.when(F.count_distinct("doc_id") > 1, 2).otherwise(1).alias("w"))
+    return p.select(F.col("a").alias("name"), "w").unionAll(p.select(F.col("b").alias("name"), "w")).groupBy("name").agg(F.sum("w").alias("degree"))
+
+
+def entity_types(spark, sf_dir):
+    """Entities by key with their type: what says more than "other" wins, a document of one's own over all, then the first seen."""
+    m = _mentions(spark, sf_dir).withColumn("key", words.name_key(F.col("name")))
+    kind = F.when(F.col("name").rlike("(?:AG|GmbH|Ltd|Labs)$"), "company").when(F.col("name").rlike("^(?:Project|Projekt|Projet|Proyecto|Programme|Programa|Pilot|Vorhaben) "), "project").otherwise("other")
+    order = F.struct((F.col("kind") == "other").alias("o"), (F.col("doc_id") % 10 != 0).alias("m"), "doc_id", "sentence", "name")
+    return m.withColumn("kind", kind).groupBy("key").agg(F.min_by("kind", order).alias("kind"), F.min_by("name", F.struct("doc_id", "sentence", "name")).alias("name"))
+
+
 def entity_merge(spark, sf_dir):
     """Names that share a key are one entity: its first form, all forms and the documents."""
     m = _mentions(spark, sf_dir).withColumn("key", words.name_key(F.col("name")))
@@ -202,7 +216,7 @@ _GUESS = f"""WITH w AS (SELECT lang, text, regexp_extract_all(lower(text), '\\p{
 c AS (SELECT lang, list_reverse_sort([{{'n': {_count("en", None)}, 'l': 'en'}}, {{'n': {_count("de", "ß")}, 'l': 'de'}}, {{'n': {_count("fr", None)}, 'l': 'fr'}}, {{'n': {_count("es", "ñ¿")}, 'l': 'es'}}]) AS r FROM w)
 SELECT lang, CASE WHEN (r[1].n > 0 AND r[2].n = 0) OR (r[1].n >= 2 AND r[1].n >= 2 * r[2].n) THEN r[1].l END AS guess, count(*) AS n FROM c GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (fold_text, name_key, fence_safe, citation_labels, lang_guess, pii_flags, amounts, chunks, sentences, markdown_sections, json_scalars, csv_statements, csv_wide_to_long, phrase_counts, cooccurrence_pairs, entity_degree, entity_merge, merkle_leaves, merkle_root, hash_chain, chain_findings, tree_siblings, tree_leaves)}
+QUERIES = {f.__name__: f for f in (fold_text, name_key, fence_safe, citation_labels, lang_guess, pii_flags, amounts, chunks, sentences, markdown_sections, json_scalars, csv_statements, csv_wide_to_long, phrase_counts, cooccurrence_pairs, entity_degree, weighted_degree, entity_types, entity_merge, merkle_leaves, merkle_root, hash_chain, chain_findings, tree_siblings, tree_leaves)}
 SQL = {
     "fold_text": f"SELECT doc_id, md5({_FOLD.format('text')}) AS folded FROM documents",
     "name_key": f"SELECT doc_id, {_KEY.format('title')} AS name_key FROM documents WHERE title IS NOT NULL",
@@ -217,6 +231,8 @@ SQL = {
     "phrase_counts": f"WITH {_MENTIONS} SELECT name, count(*) AS sentences, count(DISTINCT doc_id) AS documents FROM m GROUP BY name",
     "cooccurrence_pairs": f"WITH {_MENTIONS} SELECT x.name AS a, y.name AS b, count(*) AS n, min(x.doc_id) AS first FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND x.name < y.name GROUP BY 1, 2",
     "entity_degree": f"WITH {_MENTIONS}, p AS (SELECT DISTINCT x.name AS a, y.name AS b FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND x.name < y.name) SELECT name, count(*) AS degree FROM (SELECT a AS name FROM p UNION ALL SELECT b FROM p) GROUP BY name",
+    "weighted_degree": f"WITH {_MENTIONS}, p AS (SELECT x.name AS a, y.name AS b, CASE WHEN count(DISTINCT x.doc_id) > 1 THEN 2 ELSE 1 END AS w FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND x.name < y.name GROUP BY 1, 2) SELECT name, sum(w)::BIGINT AS degree FROM (SELECT a AS name, w FROM p UNION ALL SELECT b, w FROM p) GROUP BY name",
+    "entity_types": f"WITH {_MENTIONS}, k AS (SELECT *, {_KEY.format('name')} AS key, CASE WHEN regexp_matches(name, '(?:AG|GmbH|Ltd|Labs)$') THEN 'company' WHEN regexp_matches(name, '^(?:Project|Projekt|Projet|Proyecto|Programme|Programa|Pilot|Vorhaben) ') THEN 'project' ELSE 'other' END AS kind FROM m) SELECT key, arg_min(kind, (kind = 'other', doc_id % 10 <> 0, doc_id, sentence, name)) AS kind, arg_min(name, (doc_id, sentence, name)) AS name FROM k GROUP BY key",
     "entity_merge": f"WITH {_MENTIONS}, k AS (SELECT *, {_KEY.format('name')} AS key FROM m) SELECT key, arg_min(name, (doc_id, sentence, name)) AS name, count(DISTINCT name) AS forms, count(DISTINCT doc_id) AS documents FROM k GROUP BY key",
     "merkle_leaves": "SELECT doc_id, sha256('\\x00'::BLOB || encode(coalesce(text, ''))) AS leaf FROM documents",
     "merkle_root": "WITH RECURSIVE l AS (SELECT coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS pos, sha256('\\x00'::BLOB || encode(coalesce(text, ''))) AS h FROM documents), t(source, lvl, pos, h) AS (SELECT source, 0, pos, h FROM l UNION ALL SELECT source, lvl + 1, pos // 2, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(arg_min(h, pos)) || unhex(arg_max(h, pos))) ELSE min(h) END FROM (SELECT *, max(pos) OVER (PARTITION BY source) AS top FROM t) WHERE top > 0 GROUP BY source, lvl, pos // 2) SELECT source, (SELECT count(*) FROM l WHERE l.source = t.source) AS leaves, arg_max(h, lvl) AS root FROM t WHERE pos = 0 GROUP BY source",

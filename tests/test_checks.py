@@ -27,6 +27,7 @@ CHANGED = [
     ("The new scanner handles fewer parcels than the old scanner.", "weak", "comparison"),
     ("Das Lager in Tarno wurde verkauft.", "weak", "negation"),
     ("Die Heizkosten des Lagers sind 2024 gestiegen.", "weak", "direction"),
+    ("The northern depot of Tarno opened on 4 May 2023 and holds 48,300 pallets.", "weak", "misplaced_value"),
     ("Lorries queue daily along several muddy country lanes nearby.", "weak", "few_words"),
 ]
 

@@ -47,3 +47,14 @@ def test_runs():
     assert run(every="monthly", at="08:00", day=31) == ["2026-02-28T08:00", "2026-03-31T08:00"]
     assert run(every="weekly", at="12:00", days=[6]) == ["2026-02-07T12:00", "2026-02-14T12:00"]
     assert run(every="once", at="08:00", on="2026-01-31") == [] and run(every="hourly", at="08:00") == [] and run(every="daily", at="25:00") == []
+
+
+def test_more_dates_and_times():
+    from brookloom.functions import facts as f
+
+    keys = lambda t, **k: [x[4] for x in f.facts(t, **k)]
+    assert keys("on 03/04/2024") == [["d:2024-04-03", "d:2024-03-04"]] and keys("on 25/04/2024") == [["d:2024-04-25"]]
+    assert keys("by 04/2025") == [["m:2025-04"]] and keys("am 4.5. kam") == [["d:--05-04"]] and keys("on May 4 it came") == [["d:--05-04"]]
+    assert keys("um 14 Uhr") == [["t:14:00"]] and keys("on Monday") == [["w:1"]] and keys("am Dienstag") == [["w:2"]]
+    assert keys("in May") == [["m:--05"]] and keys("it may rain") == [] and keys("it may rain", source=True) == [["m:--05"]]
+    assert "m:--08" in keys("28 August 2026", source=True)[0]
