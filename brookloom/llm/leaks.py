@@ -43,6 +43,8 @@ SHARE = 0.4
 SAME = 0.999
 LCS = 0.6
 ITEMS = 2_000
+#: Words that are worked on at once: few enough for a core's cache.
+CHUNK = 4_000
 ROUNDS = 2
 
 
@@ -100,7 +102,7 @@ def numbered(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return spread(texts).mapInPandas(run, f"doc_id {kind}, ids array<int>")
 
 
-def _chunks(batches: Iterator[pd.DataFrame], own: np.ndarray, words: int = 40_000) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pd.DataFrame], own: np.ndarray, words: int = CHUNK) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, flat ids, first block of each document, document of each block). Documents are padded to whole blocks; own gives the block's
     number of a word, its last entry that of an unknown one."""
     held: list = []
@@ -148,8 +150,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 1e-9, n, 1)
 
 
-def _scatter(flat: np.ndarray, Y: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-    """A'Y without the weights: for each word the sum of Y over the passages that hold it."""
+def _scatter(flat: np.ndarray, Y: np.ndarray, owner: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'Y without the weights to total: for each word the sum of Y over the passages that hold it."""
     held = Y.copy()
     same = owner[:-1] == owner[1:]
     held[1:][same] += Y[:-1][same]
@@ -157,9 +159,8 @@ def _scatter(flat: np.ndarray, Y: np.ndarray, owner: np.ndarray, size: int) -> n
     order = at[np.argsort(flat[at], kind="stable")]
     words = flat[order]
     starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-    out = np.zeros((size, Y.shape[1]), dtype=np.float32)
-    out[words[starts]] = np.add.reduceat(held[order // BLOCK], starts, axis=0)
-    return out
+    if len(starts):
+        total[words[starts]] += np.add.reduceat(held[order // BLOCK], starts, axis=0)
 
 
 def basis(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
@@ -178,7 +179,7 @@ def basis(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray, ran
         def sketch(batches: Iterator[pd.DataFrame], M: np.ndarray = M) -> Iterator[pd.DataFrame]:
             total = np.zeros_like(M)
             for _, flat, _, owner in _chunks(batches, own):
-                total += _scatter(flat, _windows(_block_sums(flat, M), owner), owner, len(M))
+                _scatter(flat, _windows(_block_sums(flat, M), owner), owner, total)
             yield pd.DataFrame({"part": [TaskContext.get().partitionId() % parts], "m": [total.tobytes()]})
 
         def add(p: pd.DataFrame) -> pd.DataFrame:
@@ -308,7 +309,7 @@ def _leaks_of(tokens: DataFrame, items: Items, own: np.ndarray, idf: np.ndarray,
     ids_of = np.array(items.ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for docs, flat, first, block_owner in _chunks(batches, own, 20_000):
+        for docs, flat, first, block_owner in _chunks(batches, own):
             best = best_places(flat, block_owner, len(docs), Q, M, coarse)
             same, alike = candidates(best, items, cosine)
             alike &= paraphrases
