@@ -194,6 +194,7 @@ def indexed(text: str | None) -> Source:
 # --- judging ----------------------------------------------------------------------------------------------------------------------
 
 _LABEL = re.compile(r"\[(?:[SF]\d{1,3}(?:\s*[,;]\s*[SF]\d{1,3})*|(?:Doc|Source|Quelle)\s*:[^\]\n]{1,300})\]", re.I)
+_MARKS = re.compile(r"^\s*(?:#{1,6}|>|[-+*])(?=\s)|[*`|]", re.M)  # of Markdown; they become blanks, so that offsets stay
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _BAD = re.compile(disallowed().replace(r"\p{L}\p{M}\p{N}", r"\w").replace("[^\\w", "[^\\w_"))
 
@@ -213,6 +214,7 @@ def judged(unit: str, sources: dict[str, Source], verbatim: bool = True, segment
                 return "unknown_source", m.group()
             if name in sources:
                 cited.append(sources[name])
+    bare = _MARKS.sub(lambda m: " " * len(m.group()), bare)
     if not bare.strip():
         return None
     if m := _BAD.search(bare):

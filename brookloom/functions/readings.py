@@ -208,7 +208,7 @@ def content_tokens(text: Column, boilerplate: list[str]) -> Column:
 
 
 # Signs that a released sentence may hold besides letters, digits and blanks.
-SIGNS = ".,;:!?()[]{}'\"-–—/\\%&+*=<>#@_|~^$€£§°’‘“”„«»…·•"
+SIGNS = """ .,;:!?'"()[]-/%&+=<>#@$~_°±²³µ§€£¥¢©®×÷«»–—‘’‚“”„‹›…•™Ω"""
 
 
 def disallowed(signs: str = SIGNS) -> str:

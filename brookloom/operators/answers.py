@@ -89,7 +89,7 @@ def query_ranges(text: Column, terms: list[str] | Column) -> Column:
     return F.transform(ranked, lambda s: s["text"])
 
 
-def premise(text: Column, terms: list[str], most: int = 3, chars: int = 900) -> Column:
+def premise(text: Column, terms: list[str], most: int = 3, chars: int = 1200) -> Column:
     """The ``most`` sentences with the most terms, put back into the order of the text, up to ``chars``; the first ones if none has any."""
     ranked = F.array_sort(F.transform(scored_sentences(text, terms), lambda s: F.struct((-s["score"]).alias("less"), s["order"].alias("order"), s["text"].alias("text"))))
     hits = F.filter(ranked, lambda s: s["less"] < 0)
@@ -121,13 +121,15 @@ def delivered(context: Column, label: Column, text: Column) -> Column:
     return F.when((at == 0) | (F.trim(body) == ""), "omitted").when(body == text, "full").otherwise("partial")
 
 
-#: Room of a context by the size of the model that reads it: characters in all, in one passage, and passages.
-PACKS = {"small": (2_400, 700, 4), "mid": (8_000, 1_600, 8), "large": (24_000, 3_000, 16)}
-LEAST = 120
+# Room of a context by the size of the model that reads it: characters in all, in one passage, and passages; up to how many tokens a
+# model is small or mid; the least characters of a passage.
+PACKS = {"small": (1_800, 600, 3), "mid": (9_600, 1_600, 6), "large": (24_000, 2_400, 12)}
+SMALL, MID = 4_096, 16_384
+LEAST = 80
 
 
 def pack_size(context_tokens: int) -> str:
-    return "small" if context_tokens < 6_000 else "mid" if context_tokens < 24_000 else "large"
+    return "small" if context_tokens <= SMALL else "mid" if context_tokens <= MID else "large"
 
 
 def fence_free(text: str) -> str:
