@@ -27,7 +27,8 @@ def p1_closings(spark, sf_dir):
 
 
 def p1_diverted(spark, sf_dir):
-    rows = late.diverted(table(spark, sf_dir, "event_log"))
+    """Events that came with or after the punctuation of their source, by type and whether they still count."""
+    rows = late.source_diverted(table(spark, sf_dir, "event_log"))
     return rows.groupBy("type", "counts").agg(F.count(F.lit(1)).alias("n"), F.max("late_us").alias("most_us"))
 
 

@@ -6,8 +6,8 @@ the source is on time. A source that stays silent for ``idle_timeout`` beyond it
 period closes when every source has passed or is idle. Its first figure is what each source had sent before its own
 punctuation. What comes with or after it is diverted: it corrects the figure until ``e + cutoff`` and is only reported after that.
 
-``source_figures`` settles each source by its own punctuation; ``period_figures`` counts for the first figure whatever came before the
-period as a whole closed.
+``source_figures`` settles each source by its own punctuation, and ``source_diverted`` is its side output; ``period_figures`` counts for the
+first figure whatever came before the period as a whole closed, and ``diverted`` is its side output.
 
 Defined cases: a row without ``happened``, ``recorded`` or ``type`` belongs to no period and is left out (``rejected``); a row
 without ``source`` or ``dedupe`` is an event of its own, named by ``seq``; repeated deliveries count once, at the earliest
@@ -105,18 +105,20 @@ def with_closing(events: DataFrame, log: DataFrame, period_s: int, bound_s: int,
 
 
 def punctuations(log: DataFrame, period_s: int, bound_s: int, cutoff_s: int, bounds: dict[str, int] | None = None) -> DataFrame:
-    """(source, end_us, passed_us): for every period end from the cut-off before a source's first arrival to its last one, the arrival at
-    which its watermark passes it.
+    """(source, end_us, passed_us): for every period end that a source's watermark passes with an arrival up to the cut-off, in whole
+    periods, beyond it, that arrival.
 
-    Arrivals are reduced to the first one of a source in each stretch of a period's length before anything is ordered.
+    Arrivals are reduced to the first one of a source in each stretch of a period's length before anything is ordered. In a longer silence
+    the ends further back are left out: what came for them before it is on time, and what comes after it is beyond the cut-off.
     """
     size = period_s * MICROS
+    back = -(-cutoff_s // period_s) * size
     arrived = log.filter(F.col("recorded").isNotNull()).select("source", _micros("recorded").alias("recorded_us"))
     above = F.col("recorded_us") - source_bound(bound_s, bounds)  # the watermark after this arrival; it passes the ends below it
     end = above - 1 - F.pmod(above - 1, F.lit(size))
     firsts = arrived.withColumn("end_us", end).groupBy("source", "end_us").agg(F.min("recorded_us").alias("passed_us"))
     before = F.lag("end_us").over(Window.partitionBy("source").orderBy("end_us"))
-    since = firsts.withColumn("since_us", F.coalesce(before + size, F.col("end_us") - -(-cutoff_s // period_s) * size))
+    since = firsts.withColumn("since_us", F.greatest(before + size, F.col("end_us") - back))
     return since.select("source", "passed_us", F.explode(F.sequence("since_us", "end_us", F.lit(size))).alias("end_us"))
 
 
@@ -129,6 +131,16 @@ def closings(log: DataFrame, passed: DataFrame, period_s: int, bound_s: int, idl
     return spoken.crossJoin(known).select("end_us", F.when(F.col("spoke") >= F.col("known"), F.col("last_us")).alias("closed_us"))
 
 
+def settled(log: DataFrame, passed: DataFrame, period_s: int, cutoff_s: int) -> DataFrame:
+    """The events with their period, final (came before the cut-off) and on_time (came, besides, before the punctuation of its source)."""
+    events = with_period(distinct_events(log), period_s)
+    own = passed.select(F.col("source").alias("by"), F.col("end_us").alias("by_end_us"), "passed_us")
+    final = F.col("recorded_us") <= F.col("end_us") + F.lit(cutoff_s * MICROS)
+    on_time = F.col("passed_us").isNull() | (F.col("recorded_us") < F.col("passed_us"))
+    joined = events.join(own, F.col("source").eqNullSafe(F.col("by")) & (F.col("end_us") == F.col("by_end_us")), "left")
+    return joined.withColumn("final", final).withColumn("on_time", final & on_time).drop("by", "by_end_us", "passed_us")
+
+
 def source_figures(
     log: DataFrame,
     period_s: int = 600,
@@ -138,13 +150,11 @@ def source_figures(
     bounds: dict[str, int] | None = None,
 ) -> DataFrame:
     """(type, start_us, end_us, closed_us, first, corrections, final, too_late), one row for each type and period with any event."""
-    passed = punctuations(log, period_s, bound_s, cutoff_s, bounds)
-    events = with_period(distinct_events(log), period_s).withColumn("by", F.coalesce("source", F.lit("\0")))
-    own = passed.select(F.coalesce("source", F.lit("\0")).alias("by"), "end_us", "passed_us")
-    final = F.col("recorded_us") <= F.col("end_us") + F.lit(cutoff_s * MICROS)
-    on_time = final & (F.col("passed_us").isNull() | (F.col("recorded_us") < F.col("passed_us")))
+    widest = max([bound_s, *(bounds or {}).values()])
+    passed = punctuations(log, period_s, bound_s, max(cutoff_s, widest + idle_timeout_s), bounds)  # closings looks back by the time-out
+    final, on_time = F.col("final"), F.col("on_time")
     counted = (
-        events.join(own, ["by", "end_us"], "left")
+        settled(log, passed, period_s, cutoff_s)
         .groupBy("type", "start_us", "end_us")
         .agg(
             F.count_if(on_time).alias("first"),
@@ -153,12 +163,18 @@ def source_figures(
             F.count_if(~final).alias("too_late"),
         )
     )
-    widest = max([bound_s, *(bounds or {}).values()]) * MICROS
     closed = closings(log, passed, period_s, bound_s, idle_timeout_s, bounds)
-    timed_out = F.col("end_us") + F.lit(widest + idle_timeout_s * MICROS)
+    timed_out = F.col("end_us") + F.lit((widest + idle_timeout_s) * MICROS)
     return counted.join(closed, "end_us", "left").select("type", "start_us", "end_us", F.coalesce("closed_us", timed_out).alias("closed_us"), "first", "corrections", "final", "too_late")
 
 
+def source_diverted(log: DataFrame, period_s: int = 600, bound_s: int = 300, cutoff_s: int = 12 * 3600, bounds: dict[str, int] | None = None) -> DataFrame:
+    """The side output of ``source_figures``: every event that isn't in a first figure, with its lateness and whether it still counts."""
+    passed = punctuations(log, period_s, bound_s, cutoff_s, bounds)
+    late_us = (F.col("recorded_us") - F.col("end_us")).alias("late_us")
+    return settled(log, passed, period_s, cutoff_s).filter(~F.col("on_time")).select("source", "type", "start_us", "happened_us", "recorded_us", late_us, F.col("final").alias("counts"))
+
+
 def period_figures(
     log: DataFrame,
     period_s: int = 600,

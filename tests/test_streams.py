@@ -41,6 +41,39 @@ def test_each_source_up_to_its_own_punctuation(spark):
         late.punctuations = still
 
 
+def test_diverted_by_the_punctuation_of_the_source(spark):
+    # b's bound is wider: its events are on time up to minute 25, those of a up to minute 15 only, with or without b
+    rows = [("a", "1", "t", 1, 2), ("a", "2", "t", 2, 16), ("b", "3", "t", 3, 16), ("b", "4", "t", 4, 26), (None, "5", "t", 5, 30), (None, "6", "t", 5, 15), ("\0", "6", "t", 5, 31)]
+    rows += [("a", "7", "u", 6, 4000), ("c", "8", "u", 7, 800), ("a", "1", "t", 1, 99)]  # beyond the cut-off, the first arrival of c too; a repeat
+    log = log_of(spark, rows)
+    log = log.unionByName(log.filter("seq = 0").withColumn("dedupe", F.lit("9")).withColumn("recorded", F.lit("9999-01-01 00:00:00").cast("timestamp_ntz")))
+    bounds = {"b": 900}
+    out = late.source_diverted(log, bounds=bounds).collect()
+    got = sorted((r.source or "-", r.type, r.late_us // 60_000_000, r.counts) for r in out if r.late_us < 10**15)
+    assert got == [("\0", "t", 21, True), ("-", "t", 20, True), ("a", "t", 6, True), ("a", "u", 3990, False), ("b", "t", 16, True), ("c", "u", 790, False)]
+    assert len(out) == 7 and [r.counts for r in out if r.late_us >= 10**15] == [False]
+    # it is what isn't in the first figures, whether the cut-off lies beyond the bound or before it
+    for cutoff in (12 * 3600, 600, 0):
+        figures = late.source_figures(log, cutoff_s=cutoff, bounds=bounds).agg(F.sum("corrections"), F.sum("too_late"), F.sum("first")).first()
+        kept = [r.counts for r in late.source_diverted(log, cutoff_s=cutoff, bounds=bounds).collect()]
+        assert (kept.count(True), kept.count(False), 10 - len(kept)) == tuple(figures)
+
+
+def test_diverted_query_follows_punctuations(spark, tmp_path):
+    from brookloom.plans import late_queries
+
+    rows = [("a", "1", "t", 1, 2), ("a", "2", "t", 2, 16), ("b", "3", "t", 3, 15), ("b", "4", "u", 4, 26), (None, "5", "t", 5, 30), ("a", "6", "u", 6, 4000), ("c", "7", "u", 7, 800)]
+    log_of(spark, rows).write.parquet(str(tmp_path / "event_log.parquet"))
+    query = lambda: sorted((r.type, r.counts, r.n) for r in late_queries.p1_diverted(spark, str(tmp_path)).collect())
+    still = late.punctuations
+    try:
+        assert query() == [("t", True, 2), ("u", False, 2), ("u", True, 1)]
+        late.punctuations = lambda *a: still(*a).limit(0)  # without them only the cut-off diverts
+        assert query() == [("u", False, 2)]
+    finally:
+        late.punctuations = still
+
+
 def test_late_edges(spark):
     log = log_of(spark, [("a", "1", "t", 1, 2), (None, "1", "t", 1, 2), ("a", None, "t", 1, 2), ("a", None, "t", 1, 2)])
     nulls = log.unionByName(log.limit(1).withColumn("happened", F.lit(None).cast("timestamp_ntz")))
